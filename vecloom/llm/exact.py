@@ -114,6 +114,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that lose to an equal text; all columns stay as they are."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """``docs`` without the rows that lose to an equal text; all columns stay as they are.
+
+    Rows that repeat the id that stays collapse into one.  Rows of a null id stay.
+    """
+    found = stored(exact_dedup(docs, id_col, text_col), "classes")
+    lost = found.where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
+    out = docs.join(small(lost, lost.count()), docs[id_col] == F.col("__id"), "left_anti")
+    again = found.where("kept").groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND __id IS NOT NULL").select("__id")
+    repeats = again.count()
+    if not repeats:
+        return out
+    again = small(again, repeats)
+    once = out.join(again, out[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    return out.join(again, out[id_col] == F.col("__id"), "left_anti").unionByName(once)

@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import exact, mixing, sharding
+from vecloom.llm import bpe, exact, mixing, sharding, simhash
 from vecloom.llm.common import table
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a Python worker holds few texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 2**20))
+
+
+def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded text of every document."""
+    bounded_batches(spark)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal byte shares for all sources, as much in all as the input holds; a row for each copy."""
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -22,12 +35,18 @@ def op7_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the component of near copies that it is in."""
+    bounded_batches(spark)
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of equal texts of every document."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_poisson_mix, op7_karmarkar_karp, op10_lsm_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_segment_tree_bpe, op6_poisson_mix, op7_karmarkar_karp, op9_pivot_simhash, op10_lsm_exact_dedup)}
 
 _MIX = """
 WITH mass AS (
