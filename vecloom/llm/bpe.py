@@ -204,7 +204,7 @@ class Encoder:
         out: list[bytes] = []
 
         def flush() -> None:
-            fresh = set(itertools.chain.from_iterable(cut)) - self.memo.keys()
+            fresh = [p for p in set(itertools.chain.from_iterable(cut)) if p not in self.memo]
             if len(self.memo) + len(fresh) > MEMO:
                 self.memo.clear()
                 fresh = set(itertools.chain.from_iterable(cut))

@@ -7,14 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, exact, mixing, sharding, simhash
-from vecloom.llm.common import table
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a Python worker holds few texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 2**20))
+from vecloom.llm import bpe, exact, mixing, sharding, simhash, toxicity
+from vecloom.llm.common import bounded_batches, table
 
 
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +18,16 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document; fold 0 of 5 is held out."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")), "id")
+    return toxicity.score(docs, model).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms"
+    )
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal byte shares for all sources, as much in all as the input holds; a row for each copy."""
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -46,7 +50,7 @@ def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_segment_tree_bpe, op6_poisson_mix, op7_karmarkar_karp, op9_pivot_simhash, op10_lsm_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_segment_tree_bpe, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp, op9_pivot_simhash, op10_lsm_exact_dedup)}
 
 _MIX = """
 WITH mass AS (
