@@ -1,0 +1,47 @@
+import random
+
+from vecloom.llm import wordpiece
+
+
+def slow_count(word, first, rest):
+    n, at = 0, 0
+    while at < len(word):
+        pieces = first if at == 0 else rest
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in pieces), 0)
+        if not size:
+            return 0
+        at += size
+        n += 1
+    return n
+
+
+def test_counts_equal_greedy_matching():
+    rng = random.Random(1)
+    for _ in range(60):
+        first = {bytes(rng.choice(b"_") for _ in range(1)) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 5))) for _ in range(8)}
+        rest = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 6))) for _ in range(12)}
+        own = wordpiece.Automaton(first, rest)
+        for _ in range(200):
+            word = b"_" + bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 14)))
+            assert own.count(word) == slow_count(word, first, rest)
+
+
+def test_vocabulary_counts():
+    pieces = wordpiece.load_ranks(wordpiece.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    first, rest = {p for p in pieces if p[:1] == b" "}, {p for p in pieces if p[:1] != b" "}
+    own, rng = wordpiece.load(), random.Random(2)
+    for text in ["internationalisation", "éêaux", "x" * 300, "\U0001f600!", "tokenizer\x1c"] + ["".join(rng.choice("aeinrstéö.,-") for _ in range(30)) for _ in range(100)]:
+        assert own.count(b" " + text.encode()) == slow_count(b" " + text.encode(), first, rest)
+
+
+def test_table(docs, spark, monkeypatch):
+    rows = [(1, "the theory\tof é x"), (1, "the theory\tof é x"), (2, None), (None, ""), (3, "word " * 5000)]
+    got = {(r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in wordpiece.token_counts(docs(rows)).collect()}
+    own = wordpiece.load()
+    n = sum(own.count(b" " + w.encode()) for w in ["the", "theory", "of", "é x"])
+    assert got == {(1, 4, n, 0), (2, 0, 0, 0), (None, 0, 0, 0), (3, 5000, 5000, 0)}
+    few = wordpiece.Automaton([b" a", b" ab"], [b"c"])
+    assert [tuple(r)[1:] for r in wordpiece.token_counts(docs([(1, "ab abcc zz acx")]), automaton=few).collect()] == [(4, 1 + 3 + 1 + 1, 2)]
+    assert wordpiece.token_counts(docs([])).count() == 0
+    clash = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_words int")
+    assert wordpiece.token_counts(clash).columns == ["doc_id", "n_words", "n_tokens", "n_unknown"]

@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, exact, mixing, sharding, simhash, toxicity
+from vecloom.llm import bpe, exact, langid, licenses, mixing, sharding, simhash, toxicity, wordpiece
 from vecloom.llm.common import bounded_batches, table
 
 
+def op1_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; fold 1 of 3 is held out."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(langid.learned_rows(docs)))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score", "n_windows")
+
+
+def op2_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of word pieces of every document."""
+    bounded_batches(spark)
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded text of every document."""
     bounded_batches(spark)
@@ -39,6 +53,14 @@ def op7_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices in every document; the number, the distinct names, and the best coverage."""
+    bounded_batches(spark)
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    coverage = F.round(F.array_max(F.transform("matches", lambda m: m["coverage"])), 6)
+    return found.select("doc_id", "n_matches", F.array_join("licenses", ";").alias("licenses"), F.coalesce(coverage, F.lit(0.0)).alias("best_coverage"), "matches")
+
+
 def op9_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and the component of near copies that it is in."""
     bounded_batches(spark)
@@ -50,7 +72,13 @@ def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_segment_tree_bpe, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp, op9_pivot_simhash, op10_lsm_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_byte_cnn_language, op2_longest_match_tokens, op3_segment_tree_bpe, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp,
+        op8_patience_licenses, op9_pivot_simhash, op10_lsm_exact_dedup,
+    )
+}
 
 _MIX = """
 WITH mass AS (
