@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, exact, langid, licenses, mixing, sharding, simhash, toxicity, wordpiece
+from vecloom.llm import bpe, exact, langid, licenses, media, mixing, sharding, simhash, toxicity, wordpiece
 from vecloom.llm.common import bounded_batches, table
 
 
@@ -32,6 +32,12 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures that all embeddings draw; each tenth has an edited copy."""
+    bounded_batches(spark)
+    return media.find_copies(media.drawn_media(table(spark, sf_dir, "embeddings")))
+
+
 def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document; fold 0 of 5 is held out."""
     bounded_batches(spark)
@@ -75,7 +81,7 @@ def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_byte_cnn_language, op2_longest_match_tokens, op3_segment_tree_bpe, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp,
+        op1_byte_cnn_language, op2_longest_match_tokens, op3_segment_tree_bpe, op4_descriptor_copies, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp,
         op8_patience_licenses, op9_pivot_simhash, op10_lsm_exact_dedup,
     )
 }
