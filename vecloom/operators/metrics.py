@@ -151,7 +151,7 @@ def silhouette(rows: DataFrame, metric: str = "cosine", sample: int | None = 500
 def davies_bouldin(rows: DataFrame) -> DataFrame:
     """One row: the mean over clusters of the worst ratio of scatters to centre distance."""
     centres = _clusters(rows).select("pred", "c")
-    scatter = rows.join(F.broadcast(centres), "pred").groupBy("pred").agg(F.avg(F.sqrt(squared_distance("x", "c"))).alias("s")).join(centres, "pred")
+    scatter = rows.join(centres, "pred").groupBy("pred").agg(F.avg(F.sqrt(squared_distance("x", "c"))).alias("s")).join(centres, "pred")
     a, b = scatter.select(F.col("pred").alias("p"), F.col("s").alias("sp"), F.col("c").alias("cp")), scatter.select(F.col("pred").alias("q"), F.col("s").alias("sq"), F.col("c").alias("cq"))
     gap = F.sqrt(squared_distance("cp", "cq"))
     ratio = a.join(b, F.col("p") != F.col("q")).groupBy("p").agg(F.max(F.when(gap == 0, F.lit(0.0)).otherwise((F.col("sp") + F.col("sq")) / gap)).alias("r"))
@@ -163,7 +163,7 @@ def calinski_harabasz(rows: DataFrame) -> DataFrame:
     centres = _clusters(rows).select("pred", "c", "m")
     middle = rows.agg(mean_vector("x").alias("g"), F.count(F.lit(1)).alias("n"))
     between = centres.crossJoin(middle).agg(F.sum(F.col("m") * squared_distance("c", "g")).alias("b"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    within = rows.join(F.broadcast(centres), "pred").agg(F.sum(squared_distance("x", "c")).alias("w"))
+    within = rows.join(centres, "pred").agg(F.sum(squared_distance("x", "c")).alias("w"))
     return between.crossJoin(within).select(F.when(F.col("w") == 0, F.lit(1.0)).otherwise(F.col("b") * (F.col("n") - F.col("k")) / (F.col("w") * (F.col("k") - 1))).alias("chi"))
 
 
