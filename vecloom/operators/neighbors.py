@@ -30,7 +30,7 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer: inner products, or negative squared distances."""
     s = q @ x.T
     if metric == "l2":
-        s = -np.maximum((q * q).sum(axis=1)[:, None] - 2 * s + (x * x).sum(axis=1)[None], 0)
+        s = 0.0 - np.maximum((q * q).sum(axis=1)[:, None] - 2 * s + (x * x).sum(axis=1)[None], 0)
     return s
 
 
@@ -40,7 +40,7 @@ def best(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k: int, m
     xi, x = xi[order], x[order]
     rows = []
     for at in range(0, len(qi), 1024):
-        s = np.round(_scores(q[at : at + 1024], x, metric), 10)
+        s = np.round(_scores(q[at : at + 1024], x, metric), 10) + 0.0
         ids = qi[at : at + 1024]
         if skip_self:
             s = np.where(ids[:, None] == xi[None], -np.inf, s)
