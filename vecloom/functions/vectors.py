@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
@@ -32,9 +34,14 @@ def scaled(x: Column | str, by: Column) -> Column:
     return F.transform(x, lambda e: e * by)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda it would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(x: Column | str, floor: float = 1e-12) -> Column:
     """The vector over its length; lengths below ``floor`` count as ``floor``, so zero stays zero."""
-    return F.transform(x, lambda e: e / F.greatest(norm(x), F.lit(floor)))
+    return let(F.greatest(norm(x), F.lit(floor)), lambda n: F.transform(x, lambda e: e / n))
 
 
 def plus(a: Column | str, b: Column | str) -> Column:
@@ -62,8 +69,8 @@ def weighted_mean_vector(x: Column | str, w: Column | str) -> Column:
 
 def softmax(x: Column | str) -> Column:
     """Softmax of the elements, shifted by the largest."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / total(e))
+    powers = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(powers, lambda e: let(total(e), lambda z: F.transform(e, lambda v: v / z)))
 
 
 def argmax(x: Column | str) -> Column:

@@ -145,10 +145,10 @@ def l11_gradient_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return _language(v, retrieval.gradient_nouns(_centres(spark, sf), n, 5), n)
 
 
-@query("SELECT k, v, e, COALESCE(e, v, 3 * k)::INTEGER AS clusters FROM (VALUES (10, NULL::INTEGER, NULL::INTEGER), (10, 43, NULL), (100, 43, 7)) t(k, v, e)")
+@query("SELECT k, COALESCE(e, v, 3 * k)::INTEGER AS clusters FROM (VALUES (10, NULL::INTEGER, NULL::INTEGER), (20, 43, NULL), (100, 43, 7)) t(k, v, e)")
 def l12_filter_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(k, v, e, retrieval.filter_clusters(v, k, e)) for k, v, e in ((10, None, None), (10, 43, None), (100, 43, 7))]
-    return spark.createDataFrame(rows, "k int, v int, e int, clusters int")
+    rows = [(k, retrieval.filter_clusters(v, k, e)) for k, v, e in ((10, None, None), (20, 43, None), (100, 43, 7))]
+    return spark.createDataFrame(rows, "k int, clusters int")
 
 
 _HARD = f"{_C}, q AS (SELECT label AS id, x FROM c),{topk_sql('h2', 'u', 'q', 2)}, hard AS (SELECT i AS id, ln(greatest(1 - max(score) + min(score), 1e-8)) AS value FROM h2 GROUP BY i)"
@@ -210,7 +210,7 @@ def i5_pseudo_labels(spark: SparkSession, sf: str) -> DataFrame:
     return selection.pseudo_labels(rows, 10, 0.4, 0.3, 0.15)
 
 
-_PROB = "pn AS (SELECT u.id, n.id AS noun, exp(round(list_dot_product(u.x, n.x), 10) / 0.5) AS e FROM u, n), pv AS (SELECT id, list(e ORDER BY noun) AS e FROM pn GROUP BY id), pp AS (SELECT id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM pv)"
+_PROB = "pn AS (SELECT u.id, n.id AS noun, exp(round(list_dot_product(u.x, n.x), 10) / 0.5) AS e FROM u, n), pv AS (SELECT id, list(e ORDER BY noun) AS e, sum(e) AS z FROM pn GROUP BY id), pp AS (SELECT id, list_transform(e, lambda v: v / z) AS p FROM pv)"
 _KERNEL = f"{_PROB}, kw AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.x, b.x), 10) * round(list_dot_product(p.p, q.p), 10) / 0.25 AS w FROM u a JOIN pp p USING (id), u b JOIN pp q USING (id) WHERE a.id <> b.id)"
 
 
@@ -379,9 +379,9 @@ def h7_coding_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {BASE},{_AB}, {_CONTRAST}, x AS (SELECT p, q - 10 AS q, s FROM sims WHERE p <= 10 AND q > 10),
-r AS (SELECT avg(l - s) AS v FROM (SELECT p, ln(sum(exp(s))) AS l FROM x GROUP BY p) z JOIN x ON x.p = z.p AND x.q = z.p), c AS (SELECT avg(l - s) AS v FROM (SELECT q, ln(sum(exp(s))) AS l FROM x GROUP BY q) z JOIN x ON x.q = z.q AND x.p = z.q),
+r AS (SELECT avg(l - s) AS v FROM (SELECT p, ln(sum(exp(s))) AS l FROM x GROUP BY p) z JOIN x ON x.p = z.p AND x.q = z.p), cc AS (SELECT avg(l - s) AS v FROM (SELECT q, ln(sum(exp(s))) AS l FROM x GROUP BY q) z JOIN x ON x.q = z.q AND x.p = z.q),
 w AS (SELECT sum(least(1 / 10 / 0.1, 5.0) / least(1 / 10 / 0.1, 5.0) * (ma * ln(ma) + mb * ln(mb))) AS b FROM (SELECT k, avg(a) AS ma, avg(b) AS mb FROM al GROUP BY k))
-SELECT part, {out6('value')} AS value FROM (SELECT 'assignment' AS part, (r.v + c.v) / 2 AS value FROM r, c UNION ALL SELECT 'balance', b FROM w)""")
+SELECT part, {out6('value')} AS value FROM (SELECT 'assignment' AS part, (r.v + cc.v) / 2 AS value FROM r, cc UNION ALL SELECT 'balance', b FROM w)""")
 def h9_assignment_and_balance_loss(spark: SparkSession, sf: str) -> DataFrame:
     rows = _soft_pairs(spark, sf)
     return _named(spark, {"assignment": losses.assignment_contrast(rows, 10), "balance": losses.balance_loss(rows, [0.1] * 10)})
