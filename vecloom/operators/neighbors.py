@@ -81,7 +81,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, metric: str = "ip", skip
     n, width = index.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
     if n * width <= broadcast_numbers:
         side = index.toPandas()
-        shared = spark.sparkContext.broadcast((side["id"].to_numpy(np.int64), np.array(side["x"].tolist(), np.float64).reshape(len(side), -1)))
+        shared = spark.sparkContext.broadcast((side["id"].to_numpy(np.int64), np.array(side["x"].tolist(), np.float64).reshape(len(side), width)))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             xi, x = shared.value

@@ -138,7 +138,7 @@ def soft_retrieval(rows: DataFrame, nouns: DataFrame, temperature: float, broadc
         import pandas as pd
 
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "top": [], "z": [], "s": []})
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "top": pd.Series([], dtype=float), "z": pd.Series([], dtype=float), "s": pd.Series([], dtype=object)})
         x, y = np.array(a["x"].tolist()), np.array(b["x"].tolist())
         s = x @ y.T / temperature
         top = s.max(axis=1)
