@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,31 +150,70 @@ def guarded_edges(edges: DataFrame, most: int = 150_000_000) -> int:
 
 
 def sinkhorn(z: DataFrame, eps: float, iterations: int, guard: int = 50_000) -> DataFrame:
-    """i, j, p: n times the doubly scaled membership of |Z Z^T| (id, x unit rows), diagonal included.
+    """i, j, p: n times the doubly scaled membership of |Z Z^T| (id, x), diagonal included.
 
     Even rounds set the row potentials, odd rounds the column potentials, by
-    log-sum-exp; rounds end early when the row potentials stand still.
+    log-sum-exp; rounds end early when the row potentials stand still.  Rows
+    meet the broadcast matrix in blocks and nothing of size n * n is kept: a row
+    round returns a number a row, a column round two numbers a column and task.
     """
-    n = z.count()
+    spark, n = z.sparkSession, z.count()
     if n > guard:
         raise ValueError(f"a dense membership of {n} rows is refused")
-    cost = cut_lineage(top_k(z, z, max(n, 1), "ip").select("i", "j", F.abs("score").alias("c")))
-    target = F.lit(-1.0) * F.log(F.lit(float(n)))
-    u = z.select(F.col("id").alias("i"), F.lit(0.0).alias("u"))
-    v = z.select(F.col("id").alias("j"), F.lit(0.0).alias("v"))
-    for t in range(iterations):
-        m = cost.join(u, "i").join(v, "j").select("i", "j", ((F.col("c") + F.col("u") + F.col("v")) / eps).alias("m"))
-        side, name = ("i", "u") if t % 2 == 0 else ("j", "v")
-        peak = Window.partitionBy(side)
-        lse = m.withColumn("top", F.max("m").over(peak)).groupBy(side).agg((F.first("top") + F.log(F.sum(F.exp(F.col("m") - F.col("top"))))).alias("lse"))
-        if side == "i":
-            moved = u.join(lse, "i").select("i", (eps * (target - F.col("lse")) + F.col("u")).alias("u"))
-            still = cut_lineage(moved)
-            error = still.join(u.withColumnRenamed("u", "old"), "i").agg(F.sum(F.abs(F.col("u") - F.col("old")))).first()[0] or 0.0
-            u = still
-            if error < 1e-12:
+    side = z.select("id", "x").orderBy("id").toPandas()
+    ids, x = side["id"].to_numpy(np.int64), np.array(side["x"].tolist(), float).reshape(n, -1 if n else 0)
+    u, v, level = np.zeros(n), np.zeros(n), -np.log(n) if n else 0.0
+    rows = z.select("id", "x").persist()
+
+    def blocks(batch: pa.RecordBatch, everything: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows, and their scaled costs under the potentials."""
+        ids, x, u, v = everything
+        own = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+        at = np.searchsorted(ids, batch.column(0).to_numpy(zero_copy_only=False))
+        for k in range(0, batch.num_rows, 512):
+            cost = np.abs(np.round(own[k : k + 512] @ x.T, 10))
+            yield at[k : k + 512], (cost + u[at[k : k + 512], None] + v[None]) / eps
+
+    for t in range(iterations if n else 0):
+        shared = spark.sparkContext.broadcast((ids, x, u, v))
+
+        def by_row(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, m in blocks(b, shared.value):
+                    top = m.max(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(top + np.log(np.exp(m - top[:, None]).sum(axis=1)))], names=["at", "lse"])
+
+        def by_column(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            top, total = None, None
+            for b in batches:
+                for _, m in blocks(b, shared.value):
+                    here = m.max(axis=0)
+                    high = here if top is None else np.maximum(top, here)
+                    total = np.exp(m - high).sum(axis=0) + (0 if top is None else total * np.exp(top - high))
+                    top = high
+            if top is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([top.tolist()]), pa.array([total.tolist()])], names=["top", "total"])
+
+        if t % 2 == 0:
+            found = rows.mapInArrow(by_row, "at long, lse double").toPandas()
+            moved = u.copy()
+            moved[found["at"]] += eps * (level - found["lse"])
+            still, u = np.abs(moved - u).sum() < 1e-12, moved
+            if still:
                 break
         else:
-            moved = v.join(lse, "j").select("j", (eps * (target - F.col("lse")) + F.col("v")).alias("v"))
-            v = cut_lineage(moved.select("j", F.when(F.col("v") > 9e8, F.lit(0.0)).otherwise(F.col("v")).alias("v")))
-    return cost.join(u, "i").join(v, "j").select("i", "j", (n * F.exp((F.col("c") + F.col("u") + F.col("v")) / eps)).alias("p"))
+            parts = rows.mapInArrow(by_column, "top array<double>, total array<double>").collect()
+            tops = np.array([p.top for p in parts])
+            top = tops.max(axis=0)
+            lse = top + np.log((np.array([p.total for p in parts]) * np.exp(tops - top)).sum(axis=0))
+            v = v + eps * (level - lse)
+            v[v > 9e8] = 0
+    rows.unpersist()
+    last = spark.sparkContext.broadcast((ids, x, u, v))
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, m in blocks(b, last.value):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], n)), pa.array(np.tile(ids, len(at))), pa.array((n * np.exp(m)).ravel())], names=["i", "j", "p"])
+
+    return z.select("id", "x").mapInArrow(spelled, "i long, j long, p double")

@@ -9,7 +9,7 @@ from vecloom.functions.vectors import norm
 from vecloom.operators import features
 from vecloom.plans import catalog
 from vecloom.plans.registry import BASE, long, means_sql, out6, query, r6
-from vecloom.sources.tables import nouns, table, vectors
+from vecloom.sources.tables import nouns, spread, table, vectors
 
 
 @query("SELECT p_partkey AS id, regexp_replace(lower(trim(p_type)), '[-_ ]', '', 'g') AS token FROM part")
@@ -113,7 +113,7 @@ t AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM c GROUP BY term ORDER BY c
 s AS (SELECT c.id, c.term, c.tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + t.df)) + 1.0) AS w FROM c JOIN t USING (term))
 SELECT id, term, {out6('w / sqrt(sum(w * w) OVER (PARTITION BY id))')} AS weight FROM s""")
 def f3_tf_idf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return features.tf_idf(docs, 512).select("id", "term", r6("weight").alias("weight"))
 
 
