@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hash_sample, pick, small
+from vecloom.llm.common import hash_sample, pick, small, stored
 
 #: Labelled rows that the lexicon and the regression are fitted on.
 SAMPLE_ROWS = 12_000
@@ -241,7 +241,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     with one class alone, the model has no terms and scores every text with the
     (smoothed) rate of toxic rows.
     """
-    rows = hash_sample(pick(labelled, id=id_col, text=text_col, label=label_col).where("label IS NOT NULL"), "id", most, seed)
+    # Written once: the texts are read by two passes below, and the sample is all that they need of the corpus.
+    rows = stored(hash_sample(pick(labelled, id=id_col, text=text_col, label=label_col).where("label IS NOT NULL"), "id", most, seed), "labelled")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
