@@ -96,7 +96,41 @@ def test_methods_find_planted_clusters(table, planted, method):
     assert same_clusters(got, truth)
 
 
-@pytest.mark.parametrize("method", ["tac", "gradnorm", "seic", "magic"])
+def test_gradients_of_two_heads(spark):
+    rng = np.random.default_rng(10)
+    x, y, k = rng.normal(size=(30, 3)), rng.normal(size=(30, 4)), 3
+    rows = spark.createDataFrame([(i, list(map(float, a)), list(map(float, b))) for i, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, y array<double>")
+    start = (rng.normal(size=(k, 3)), rng.normal(size=k), rng.normal(size=(k, 4)), rng.normal(size=k))
+
+    def loss(h):
+        p, q = losses._softmax(x @ h[0].T + h[1]), losses._softmax(y @ h[2].T + h[3])
+        z = np.concatenate([p, q], axis=1)
+        m = z.mean(axis=0)
+        return losses.column_contrast(z.T @ z, 0.5) - np.log((p * q).sum(axis=1)).mean() + 5 * (m * np.log(m)).sum()
+
+    heads, found = losses.fit_two_heads(rows, k, 1, rate=1.0, start=start)
+    assert found[0] == pytest.approx(loss(start))
+    for i in range(4):
+        for at in np.ndindex(start[i].shape):
+            ends = []
+            for e in (1e-6, -1e-6):
+                h = [np.array(p) for p in start]
+                h[i][at] += e
+                ends.append(loss(h))
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx((start[i] - heads[i])[at], abs=1e-6)
+
+
+def test_views(table):
+    rows = table([[float(i) for i in range(16)]] * 3)
+    same = {r.id: r.x for r in features.random_view(rows, 4, "none").collect()}
+    for preset in ("standard_train", "simclr"):
+        a, b = ({r.id: r.x for r in features.random_view(rows, 4, preset).collect()} for _ in range(2))
+        assert a == b and len(a[0]) == 16 and a != same
+    with pytest.raises(ValueError):
+        features.random_view(rows, 4, "other")
+
+
+@pytest.mark.parametrize("method", ["tac", "tac_trained", "gradnorm", "seic", "magic"])
 def test_language_methods_find_planted_clusters(table, planted, method):
     from vecloom import pipelines
 

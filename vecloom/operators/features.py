@@ -94,6 +94,42 @@ def encode(images: DataFrame, width: int = 64, seed: int = 42) -> DataFrame:
     return images.select("id", "x").mapInArrow(run, "id long, x array<double>")
 
 
+VIEWS = ("none", "standard_train", "simclr")
+
+
+def random_view(images: DataFrame, width: int, preset: str = "standard_train", seed: int = 42) -> DataFrame:
+    """Training views of grey pictures (id, x pixels in rows of ``width``): (id, x).
+
+    ``none`` leaves them; ``standard_train`` shifts by up to an eighth and may
+    mirror; ``simclr`` crops between a quarter and all of the picture, scales
+    that back up, may mirror, and changes brightness and contrast.  The draw of
+    a picture depends on seed and id alone.
+    """
+    if preset not in VIEWS:
+        raise ValueError(f"preset is one of {', '.join(VIEWS)}")
+
+    def view(pixels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        h, w = pixels.shape
+        if preset == "standard_train":
+            dy, dx = rng.integers(-(h // 8), h // 8 + 1), rng.integers(-(w // 8), w // 8 + 1)
+            pixels = np.roll(pixels, (dy, dx), (0, 1))
+        else:
+            side = np.sqrt(rng.uniform(0.25, 1))
+            ch, cw = max(1, round(h * side)), max(1, round(w * side))
+            y, x = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
+            pixels = pixels[y + np.arange(h) * ch // h][:, x + np.arange(w) * cw // w]
+            pixels = np.clip((pixels - pixels.mean()) * rng.uniform(0.6, 1.4) + pixels.mean() * rng.uniform(0.6, 1.4), 0, None)
+        return pixels[:, ::-1] if rng.random() < 0.5 else pixels
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1, width) if b.num_rows else []
+            out = [view(p, np.random.default_rng([seed, i % 2**63])).ravel().tolist() for i, p in zip(b.column(0).to_pylist(), flat)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "x"])
+
+    return images.select("id", "x") if preset == "none" else images.select("id", "x").mapInArrow(run, "id long, x array<double>")
+
+
 def name_token(name: Column) -> Column:
     """A registry name as it is compared: lower case, without blanks, dashes and underscores."""
     return F.regexp_replace(F.lower(F.trim(name)), "[-_ ]", "")

@@ -120,6 +120,15 @@ def compressed_rate(rows: DataFrame, width: int, eps: float = 0.01) -> float:
     return float(sum((r.m + 1e-8) * np.linalg.slogdet(np.eye(width) + width / ((r.m + 1e-8) * eps) * np.array(r.g).reshape(width, width))[1] / (2 * n) for r in groups))
 
 
+def predicted(rows: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
+    """id, cluster: the largest logit of a linear head for each row; ties go to the smaller cluster."""
+    from vecloom.operators.clustering import assigned
+
+    # An inner product with a one appended is the affine map.
+    wide = rows.select("id", F.concat("x", F.array(F.lit(1.0))).alias("x"))
+    return assigned(wide, np.column_stack([w, b]), spherical=True).select("id", "cluster")
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -173,3 +182,72 @@ def fit_scan_head(pairs: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds
         b = b - rate * (gb / n - entropy_weight * h[:, d] / n)
     pairs.unpersist()
     return w, b, losses
+
+
+def _contrast_slope(g: np.ndarray, temperature: float) -> np.ndarray:
+    """The derivative of :func:`column_contrast` by the Gram matrix."""
+    n, k = len(g), len(g) // 2
+    length = np.maximum(np.sqrt(np.diag(g)), 1e-12)
+    s = g / np.outer(length, length) / temperature
+    p = np.exp(s - s.max())
+    np.fill_diagonal(p, 0)
+    slope = p / p.sum(axis=1, keepdims=True)
+    slope[np.arange(n), (np.arange(n) + k) % n] -= 1
+    slope /= n
+    out = slope / np.outer(length, length) / temperature
+    out[np.arange(n), np.arange(n)] = -0.5 * ((slope + slope.T) * s).sum(axis=1) / length**2
+    return out
+
+
+def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0, temperature: float = 0.5, entropy_weight: float = 5.0, start: tuple[np.ndarray, ...] | None = None, seed: int = 42) -> tuple[tuple[np.ndarray, ...], list[float]]:
+    """Two linear heads under :func:`tac_loss`, one for x and one for the text side y of (id, x, y).
+
+    Gradient descent on all rows.  A round is two passes over Arrow batches: the
+    first sums the Gram matrix of all columns and the means, the second the
+    gradients under them; both bring arrays of a fixed size to the driver.
+    Returns (weights and bias of x, weights and bias of y) and the loss by round.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    rows = rows.select("x", "y").persist()
+    n, dx, dy = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.max(F.size("y"))).first()
+    if start is None:
+        rng = np.random.default_rng(seed)
+        start = (rng.normal(0, 1, (k, dx)), np.zeros(k), rng.normal(0, 1, (k, dy)), np.zeros(k))
+    heads, found, spark = [np.array(h, float) for h in start], [], rows.sparkSession
+
+    def summed(kind: str, extra: tuple = ()) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((heads, extra))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (w, b, v, c), extra = shared.value
+            for batch in batches:
+                x, y = (np.asarray(batch.column(i).flatten(), float).reshape(batch.num_rows, -1) for i in (0, 1))
+                p, q = _softmax(x @ w.T + b), _softmax(y @ v.T + c)
+                agree = np.maximum((p * q).sum(axis=1, keepdims=True), 1e-12)
+                z = np.concatenate([p, q], axis=1)
+                if kind == "sums":
+                    out = [(z.T @ z).ravel(), z.sum(axis=0), [-np.log(agree).sum()]]
+                else:
+                    slope, by_mean = extra
+                    dz = np.concatenate([-q / agree, -p / agree], axis=1) / n + z @ (slope + slope.T) + by_mean / n
+                    dp, dq = dz[:, : len(b)], dz[:, len(b) :]
+                    ep, eq = p * (dp - (p * dp).sum(axis=1, keepdims=True)), q * (dq - (q * dq).sum(axis=1, keepdims=True))
+                    out = [(ep.T @ x).ravel(), ep.sum(axis=0), (eq.T @ y).ravel(), eq.sum(axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(out).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        return np.array(rows.mapInArrow(run, "v array<double>").agg(sum_vector("v").alias("v")).first().v)
+
+    for _ in range(rounds):
+        got = summed("sums")
+        g, mean, consistency = got[: 4 * k * k].reshape(2 * k, 2 * k), np.maximum(got[4 * k * k : -1] / n, 1e-9), got[-1] / n
+        found.append(float(column_contrast(g, temperature) + consistency - entropy_weight * -(mean * np.log(mean)).sum()))
+        step = summed("steps", (_contrast_slope(g, temperature), entropy_weight * (np.log(mean) + 1)))
+        at = 0
+        for i, h in enumerate(heads):
+            heads[i] = h - rate * step[at : at + h.size].reshape(h.shape)
+            at += h.size
+    rows.unpersist()
+    return tuple(heads), found

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.functions.vectors import dot, softmax, unit
+from vecloom.functions.vectors import softmax, unit
 from vecloom.operators import clustering, diffusion, features, graphs, losses, metrics, neighbors, retrieval, selection, subspace
 from vecloom.plans import catalog
 from vecloom.plans.graphs import lloyd_sql
@@ -268,6 +268,23 @@ def d8_diffused_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.spectral_clustering(v, graphs.pruned(fused, 30), 10, redo=2)
 
 
+@query()
+def f4_encoded_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return long(features.encode(vectors(spark, sf).select("id", F.transform("x", F.abs).alias("x")), 16))
+
+
+@query()
+def s16_random_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector as an 8 x 8 picture, in a random view."""
+    return long(features.random_view(vectors(spark, sf).select("id", F.transform("x", F.abs).alias("x")), 8, "simclr"))
+
+
+@query(f"WITH {BASE},{topk_sql('k', 'u', 'u', 8, True)} SELECT count(*) AS nnz FROM k")
+def d7_guarded_edges(spark: SparkSession, sf: str) -> DataFrame:
+    n = graphs.guarded_edges(neighbors.without_self(vectors(spark, sf), 8))
+    return spark.createDataFrame([(n,)], "nnz long")
+
+
 @query()
 def r1_matching_pursuit(spark: SparkSession, sf: str) -> DataFrame:
     return subspace.omp(vectors(spark, sf), 5).withColumn("w", r6("w"))
@@ -329,6 +346,16 @@ def h1_distillation_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, losses.tac_loss(_soft_pairs(spark, sf), 10))
 
 
+@query()
+def h1_trained_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two linear heads from the centres, 8 rounds over rows and their retrieved text: id, cluster."""
+    v = vectors(spark, sf)
+    text = retrieval.soft_retrieval(v, nouns(spark, sf), 0.05).withColumnRenamed("x", "y")
+    w, b = losses.linear_head(np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()]), 5.0)
+    heads, _ = losses.fit_two_heads(v.join(text, "id"), 10, 8, start=(w, b, w, b))
+    return losses.predicted(v, heads[0], heads[1])
+
+
 @query(f"""WITH {BASE},{_AB}, v AS (SELECT {_CONS} AS i, (SELECT avg(ln(1 + exp(-s))) FROM (SELECT k, sum(a * b) AS s FROM al GROUP BY k)) AS c)
 SELECT part, {out6('value')} AS value FROM (SELECT 'instance' AS part, i AS value FROM v UNION ALL SELECT 'cluster', c FROM v UNION ALL SELECT 'total', 0.5 * i + 0.5 * c FROM v)""")
 def h2_alignment_loss(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,8 +381,7 @@ def h4_trained_linear_head(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbors.gather(neighbors.without_self(v, 1), v).select(F.col("i").alias("id"), F.col("x").alias("y"))
     c = np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()])
     w, b, _ = losses.fit_scan_head(v.join(near, "id"), losses.linear_head(c), 10)
-    logits = F.array(*(dot("x", F.array(*map(F.lit, map(float, w[k])))) + float(b[k]) for k in range(10)))
-    return v.select("id", (F.array_position(logits, F.array_max(logits)) - 1).cast("int").alias("cluster"))
+    return losses.predicted(v, w, b)
 
 
 @query(f"WITH {BASE},{_C}, s AS (SELECT u.id, c.label AS k, 2 * 0.05 * list_dot_product(u.x, c.x) - 0.05 * list_dot_product(c.x, c.x) AS z FROM u, c) SELECT id, k::INTEGER AS cluster, {out6('z')} AS logit FROM s")
