@@ -83,3 +83,15 @@ def test_each_stage_equals_a_plain_version(spark, folder):
 
 def test_run(spark, folder):
     assert pipeline.run(spark, folder).count() > 100
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None)] * 2 + [(1, "", None, "s", 0), (1, "", None, "s", 0), (2, "a b c", "en", None, 5)])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, docs.schema).write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        got = pipeline.run(spark, path)
+        assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+        assert got.count() == 0 if not rows else got.count() >= 0
