@@ -300,3 +300,12 @@ def test_cache_names():
 def test_encoder_is_linear(table):
     got = {r.id: np.array(r.x) for r in features.encode(table([[1, 0, 2], [2, 0, 4]]), 8).collect()}
     assert np.allclose(2 * got[0], got[1])
+
+
+def test_ordinals(spark):
+    from vecloom.functions.ordinal import with_ordinal
+
+    rows = spark.range(500).select(((F.col("id") * 7919) % 1009).alias("key"), F.col("id").alias("v")).repartition(7)
+    got = [(r.ordinal, r.key) for r in with_ordinal(rows, "key").orderBy("ordinal").collect()]
+    assert [o for o, _ in got] == list(range(500)) and [k for _, k in got] == sorted(k for _, k in got)
+    assert with_ordinal(rows.limit(0), "key").count() == 0

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,12 @@ def strictly_unit(vectors: DataFrame) -> DataFrame:
 
 def standardised(vectors: DataFrame, floor: float = 1e-6) -> DataFrame:
     """Each dimension less its mean over its population deviation, which counts as ``floor`` at least."""
-    long = vectors.select("id", F.posexplode("x").alias("d", "v"))
-    stats = long.groupBy("d").agg(F.avg("v").alias("m"), F.greatest(F.stddev_pop("v"), F.lit(floor)).alias("s"))
-    sides = stats.agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "m", "s"))), lambda r: r).alias("stats"))
-    shift = F.zip_with("x", "stats", lambda v, r: (v - r["m"]) / r["s"])
-    return vectors.crossJoin(F.broadcast(sides)).withColumn("x", shift).drop("stats")  # one row on the right
+    v = array_to_vector("x")
+    stats = vectors.agg(vector_to_array(Summarizer.mean(v)).alias("m"), vector_to_array(Summarizer.variance(v)).alias("s"), F.count(F.lit(1)).alias("n"))
+    # The summarizer's variance is that of a sample.
+    sides = stats.select("m", F.transform("s", lambda e: F.greatest(F.sqrt(e * (F.col("n") - 1) / F.col("n")), F.lit(floor))).alias("s"))
+    shift = F.zip_with(F.zip_with("x", "m", lambda a, b: a - b), "s", lambda a, b: a / b)
+    return vectors.crossJoin(F.broadcast(sides)).withColumn("x", shift).drop("m", "s")  # one row on the right
 
 
 def concatenated(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,17 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.ordinal import cut_lineage
 from vecloom.operators.neighbors import top_k, without_self
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that all executors share (``spark.checkpoint.dir``; a temporary one where unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-"))
-    return df.checkpoint()
-
-
 def all_pairs(vectors: DataFrame, guard: int = 50_000) -> DataFrame:
     """i, j, s: inner products of all ordered pairs of different rows, in blocks.
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.ordinal import with_ordinal
 from vecloom.functions.vectors import dot, mean_vector, sum_vector, unit
 from vecloom.operators.neighbors import BROADCAST_NUMBERS, top_k
 
@@ -81,14 +82,10 @@ def gradient_nouns(centres: DataFrame, nouns: DataFrame, per_centre: int, temper
 
 def mean_of_means(nouns: DataFrame, batch: int) -> DataFrame:
     """One row x: the mean of the means of batches by place (rows of the short last batch weigh more).  Places follow the ids."""
-    n = nouns.select("x", F.floor((_place("id") - 1) / batch).alias("b"))
+    n = with_ordinal(nouns.select("id", "x"), "id").select("x", F.floor(F.col("ordinal") / batch).alias("b"))
     return n.groupBy("b").agg(mean_vector("x").alias("x")).agg(mean_vector("x").alias("x"))
 
 
-def _place(key: str):
-    return F.row_number().over(Window.orderBy(key))
-
-
 def distinct_nouns(centres: DataFrame, nouns: DataFrame, near: int, apart: float, batch: int) -> DataFrame:
     """noun: among the ``near`` nearest of any centre and with a cosine below 1 - ``apart`` to the nouns' mean."""
     c = centres.select(F.col("cluster").cast("long").alias("id"), unit("x", 1e-8).alias("x"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.ordinal import with_ordinal
 from vecloom.operators.metrics import matching
 from vecloom.operators.neighbors import density, top_k
 
@@ -95,9 +96,9 @@ def attack_targets(rows: DataFrame, seed: int = 42) -> DataFrame:
     labels = sizes.withColumn("rank", F.row_number().over(Window.orderBy("label")) - 1).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy()))
     n = labels.count()
     if n <= 1:
-        order = Window.orderBy(hash_order(seed, "id"), "id")
-        ring = rows.select("id", F.lead("id").over(order).alias("after"), F.first("id").over(order).alias("first"))
-        return ring.select("id", F.coalesce("after", "first").alias("target"))
+        ring = with_ordinal(rows.select("id", hash_order(seed, "id").alias("key")), "key", "id").select("id", "ordinal")
+        after = ring.select((F.pmod(F.col("ordinal") - 1, F.lit(max(ring.count(), 1)))).alias("ordinal"), F.col("id").alias("target"))
+        return ring.join(after, "ordinal").select("id", "target")
     draw = lambda tag: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), F.lit(seed), "id")), 1, 12), 16, 10).cast("long")
     asked = rows.join(labels.select("label", "rank", "k"), "label").select("id", draw("member").alias("draw"), F.pmod(F.col("rank") + 1 + F.pmod(draw("label"), F.col("k") - 1), F.col("k")).alias("rank"))
     met = asked.join(labels.select("rank", F.col("label").alias("other"), "m"), "rank").select("id", "other", F.pmod("draw", "m").alias("place"))

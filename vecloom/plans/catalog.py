@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.functions.ordinal import with_ordinal
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -139,7 +141,7 @@ def joined_splits(rows: DataFrame, splits: tuple[str, ...]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("ordinal", F.row_number().over(Window.orderBy("part", "id")).cast("long") - 1)
+    return with_ordinal(out, "part", "id")
 
 
 def split_alias(name: Column, split: Column) -> Column:

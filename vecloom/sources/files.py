@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.ordinal import with_ordinal
+
 IMAGE_SUFFIXES = "(?i).*\\.(jpg|jpeg|png|ppm|bmp|pgm|tif|tiff|webp)$"
 
 
@@ -23,7 +25,7 @@ def image_folder(spark: SparkSession, root: str, split: str) -> DataFrame:
     below = F.element_at(F.split("path", f"/{split}/"), -1)
     named = files.select("path", "content", F.element_at(F.split(below, "/"), 1).alias("class_name"))
     classes = named.select("class_name").distinct().withColumn("label", F.row_number().over(Window.orderBy("class_name")) - 1)
-    ids = named.select("path").withColumn("id", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
+    ids = with_ordinal(named.select("path"), "path", name="id")
     return named.join(classes, "class_name").join(ids, "path").select("id", "class_name", "label", "path", "content")
 
 
@@ -79,7 +81,7 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     if "word" not in raw.columns:
         raise ValueError("the vocabulary has no column 'word'")
     words = raw.select(F.monotonically_increasing_id().alias("at"), F.trim("word").alias("word")).where("word != ''")
-    return words.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ordinal"), "word")
+    return with_ordinal(words, "at").select("ordinal", "word")
 
 
 def write_features(features: DataFrame, path: str, key: dict[str, object]) -> str:
