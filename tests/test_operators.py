@@ -309,3 +309,19 @@ def test_ordinals(spark):
     got = [(r.ordinal, r.key) for r in with_ordinal(rows, "key").orderBy("ordinal").collect()]
     assert [o for o, _ in got] == list(range(500)) and [k for _, k in got] == sorted(k for _, k in got)
     assert with_ordinal(rows.limit(0), "key").count() == 0
+
+
+def test_interactive_clusters(spark, planted):
+    from vecloom import pipelines
+
+    x, truth = planted
+    rows = spark.createDataFrame([(i, [float(e) for e in v], int(c)) for i, (v, c) in enumerate(zip(x, truth))], "id long, x array<double>, label int")
+    got = {r.id: r.cluster for r in pipelines.interactive(rows, 4, 12, 5, 2, 1, redo=3, rounds=8).collect()}
+    assert same_clusters(got, truth)
+
+
+def test_labelled_head_learns(spark, planted):
+    x, truth = planted
+    rows = spark.createDataFrame([([float(e) for e in v], int(c)) for v, c in zip(x, truth)], "x array<double>, cluster int")
+    w, b, loss = losses.fit_labelled_head(rows, (np.zeros((4, 12)), np.zeros(4)), 15, 5.0)
+    assert loss[-1] < 0.5 * loss[0] and ((x @ w.T + b).argmax(axis=1) == truth).all()

@@ -129,6 +129,22 @@ def predicted(rows: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
     return assigned(wide, np.column_stack([w, b]), spherical=True).select("id", "cluster")
 
 
+def probabilities(rows: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
+    """id, pred, confidence: the most probable cluster of each row under a linear head."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, w.shape[1]))
+            p = np.round(_softmax(x @ w.T + b), 10) if len(x) else np.zeros((0, len(b)))
+            at = p.argmax(axis=1) if len(x) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32)), pa.array(p[np.arange(len(at)), at])], names=["id", "pred", "confidence"])
+
+    return rows.select("id", "x").mapInArrow(run, "id long, pred int, confidence double")
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -251,3 +267,41 @@ def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0,
             at += h.size
     rows.unpersist()
     return tuple(heads), found
+
+
+def fit_labelled_head(rows: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds: int = 30, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """A linear head by cross-entropy over (x, cluster), classes weighed by their rarity; a round is one pass.
+
+    Returns weights, bias and the loss by round.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    rows = rows.select("x", "cluster").persist()
+    w, b = (np.array(p, float) for p in start)
+    counts = {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()}  # a row a cluster
+    weight = np.array([1 / counts[c] if counts.get(c) else 0.0 for c in range(len(b))]) / max(len(counts), 1)
+    spark, found = rows.sparkSession, []
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((w, b))
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            w, b = shared.value
+            for batch in batches:
+                x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
+                y = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
+                p, own = _softmax(x @ w.T + b), weight[y][:, None]
+                loss = -(own[:, 0] * np.log(np.maximum(p[np.arange(len(y)), y], 1e-12))).sum()
+                p[np.arange(len(y)), y] -= 1
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([((own * p).T @ x).ravel(), (own * p).sum(axis=0), [loss]]).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        row = rows.mapInArrow(sums, "v array<double>").agg(sum_vector("v").alias("v")).first()
+        if row.v is None or not len(row.v):
+            break
+        got = np.array(row.v)
+        found.append(float(got[-1]))
+        w = w - rate * (got[: w.size].reshape(w.shape) + decay * w)
+        b = b - rate * got[w.size : -1]
+    rows.unpersist()
+    return w, b, found
