@@ -60,7 +60,7 @@ def test_held_out_accuracy_and_whole_texts(docs, spark):
 
 
 def test_edge_cases(docs, spark):
-    table = docs([(1, None), (2, ""), (3, "12 ... 5"), (None, "the and"), (4, "the and"), (4, "the and")])
+    table = docs([(1, None), (2, ""), (3, "12 ... 5 \u00b2 \u2167"), (None, "the and"), (4, "the and"), (4, "the and")])
     net = langid.train(["aa", "bb"], langid.windows_of(b"abc " * 200), np.array([0, 1, 0, 1]))
     got = langid.identify(table, net).collect()
     assert [(r.lang_pred, r.score) for r in got if r.doc_id in (1, 2, 3)] == [("und", 0.0)] * 3

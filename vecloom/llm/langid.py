@@ -33,6 +33,11 @@ BATCH = 128
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numerals such as superscripts are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Network:
     """Weights: ``embed`` (256 x EMBEDDED), ``filters`` (widest * EMBEDDED x all filters), ``dense``."""
@@ -137,7 +142,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             key, lang, out = [], [], []
             for i, t, name in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 text = t.as_py()
-                if not _LETTER.search(text):
+                if not has_letter(text):
                     continue
                 all_of = windows_of(text.encode("utf-8", "replace"))
                 for w in np.unique(np.linspace(0, len(all_of) - 1, SAMPLE_WINDOWS).astype(int)):
@@ -181,7 +186,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
             held = 0
             for i in range(n):
                 text = b.column(1)[i].as_py()
-                if own is None or text is None or not _LETTER.search(text):
+                if own is None or text is None or not has_letter(text):
                     continue
                 all_of = windows_of(text.encode("utf-8", "replace"))
                 counts[i] = len(all_of)
