@@ -5,17 +5,14 @@ from vecloom.llm import toxicity as tox
 
 
 def slow_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = _next(row, i, x, b)
-    return row[-1]
-
-
-def _next(row, i, x, b):
-    out = [i]
-    for j, y in enumerate(b, 1):
-        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
-    return out
+    """Edits between two words, a swap of neighbours being one."""
+    d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def test_automaton_equals_the_edit_table():
@@ -29,22 +26,56 @@ def test_automaton_equals_the_edit_table():
                 state = auto.step(state, c)
             d = slow_distance(a, b)
             assert auto.distance(state) == (d if d <= k else None)
+            assert auto.alive(state) == any(slow_distance(a[:i], b) <= k for i in range(len(a) + 1))
+
+
+def misspelled(rng, word, n):
+    word = list(word)
+    for _ in range(n):
+        at = rng.randrange(len(word))
+        if rng.random() < 0.3 and at:
+            word[at - 1], word[at] = word[at], word[at - 1]
+        else:
+            word[at] = rng.choice(["a", "b", "", "cd"])
+    return "".join(word)
 
 
 def test_trie_walk_finds_every_near_term():
     rng = random.Random(2)
-    terms = {"".join(rng.choice("abcd") for _ in range(rng.randrange(5, 9))): rng.random() for _ in range(60)}
-    lexicon = tox.Lexicon(terms, {})
+    draw = lambda low, high: "".join(rng.choice("abcd") for _ in range(rng.randrange(low, high)))
+    words = {draw(5, 14): rng.random() for _ in range(60)}
+    near = {draw(5, 14): rng.random() for _ in range(10)}
+    stems = {draw(3, 9): rng.random() for _ in range(8)}
+    lexicon = tox.Lexicon(words, stems, near)
     for _ in range(1500):
-        word = list(rng.choice(sorted(terms)))
-        for _ in range(rng.randrange(1, 3)):
-            word[rng.randrange(len(word))] = rng.choice(["a", "b", "", "cd"])
-        word = "".join(word)
-        near = [t for t in terms if slow_distance(word, t) <= 1 and t != word]
-        want = max(near, key=lambda t: (terms[t], t), default=None)
-        assert lexicon.fuzzy(word) == want
-        if word not in terms and len(word) >= tox.FUZZY_FROM:
-            assert (lexicon.match(word) or (None,))[0] == want
+        word = misspelled(rng, rng.choice(sorted([*words, *near, *(s + "zzz" for s in stems)])), rng.randrange(1, 3))
+        found = [(v, t) for t, v in {**words, **near}.items() if t != word and slow_distance(word, t) <= (2 if len(t) >= tox.LONG_FROM else 1)]
+        found += [(v, s + "-") for s, v in stems.items() if len(s) >= tox.FUZZY_FROM and any(slow_distance(word[:i], s) <= 1 for i in range(len(word) + 1))]
+        assert lexicon.fuzzy(word) == max(found, default=None)
+        if word not in words and not any(word.startswith(s) for s in stems) and len(word) >= tox.FUZZY_FROM:
+            assert (lexicon.match(word) or (None,))[0] == max(found, default=(0, None))[1]
+
+
+def test_misspelled_stems_and_swaps():
+    lexicon = tox.Lexicon({"idiot": 1.0, "contemptible": 1.0}, {"imbec": 1.0}, {"imbecile": 2.0})
+    for word, term in (("imbecilic", "imbec-"), ("imbcile", "imbecile"), ("imebcility", "imbec-"), ("idoit", "idiot"), ("conetmptibel", "contemptible"), ("cntemptble", "contemptible")):
+        assert lexicon.match(word)[0] == term
+    assert lexicon.match("imbecilic")[2] is False and lexicon.match("idoit")[2] is True
+    assert lexicon.match("timber") is lexicon.match("ridicule") is lexicon.match("temptation") is None
+
+
+def test_terms_that_a_stem_explains_stand_for_their_misspellings():
+    words, stems, near = tox._distinct_terms([("imbecile", 20, 1.0), ("imbecilic", 15, 1.0), ("imbec-", 35, 1.0), ("scum", 9, 0.9), ("scum-", 9, 0.9)])
+    assert (words, stems, near) == ({"scum": 0.9}, {"imbec": 1.0}, {"imbecile": 1.0, "imbecilic": 1.0})
+
+
+def test_quotation_of_any_length():
+    model = tox.Model(tox.Lexicon({"moron": 2.0}, {}), 0, 1, 0, 0)
+    for inside in (5, 500, 700, 20_000):
+        text = f'moron and "{"x" * inside} moron end" so'
+        assert [h[4] for h in model.hits(text)[0]] == [False, True]
+    assert tox.quotations('a "b\nc" d « e » f „g“ h “i” > j\n> k "l\n""') == [(10, 15), (18, 21), (24, 27), (32, 38)]
+    assert tox.quotations("«" * 50_000 + "\n") == []  # in one pass
 
 
 def test_hits_in_windows_and_quotes():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
+#: A key with at least this part of all rows is hot; there are no more such keys than this.
+HEAVY = 4096
 
 #: ASCII white space, the characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,14 +32,19 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, as
-    in tests on one machine, a temporary folder is set for this session.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session on one machine (tests) gets a temporary folder; on a cluster that
+    would be the driver's own disk, so it is an error there.
     """
     set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="vecloom-"))
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="vecloom-")
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -70,19 +78,61 @@ def id_text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def crc_bucket(column: Column, n: int) -> Column:
-    """crc32 of the id's text modulo ``n``: the fold of a labelled row."""
-    return F.crc32(column.cast("string")) % F.lit(n)
+def fold(column: Column, n: int) -> Column:
+    """crc32 of the id's text modulo ``n``: the fold of a row; a null id is in the fold of empty text."""
+    return F.crc32(id_text(column)) % F.lit(n)
 
 
-def hash_sample(df: DataFrame, id_col: str, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the id alone.
+def hash_sample(df: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of the key columns alone.
 
-    One count decides the rate, so no sort and no driver-side list is needed;
-    a table with fewer rows is taken whole.
+    One count decides the rate, so no sort and no driver-side list is needed; a
+    table with fewer rows is taken whole.  The rate has the hash's 64 bits, so
+    it is right for any count.  Rows of equal keys count once in a sample.
     """
     n = df.count()
     if n <= most:
         return df
-    cut = int(1_000_000 * most / n)
-    return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1_000_000)) < cut)
+    cut = (most << 64) // n - 2**63
+    return df.where(F.xxhash64(*keys, F.lit(seed)) < F.lit(cut)).dropDuplicates(keys)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "n") -> DataFrame:
+    """``rows`` joined with ``groups``, a row for each key that says how many ``rows`` it has.
+
+    Groups of at least 1 / HEAVY of the ``total`` rows number HEAVY at most, so
+    they are broadcast and their rows stay where they are; only keys of few rows
+    are dealt out, and none of these is hot.
+    """
+    count = groups.count()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key)
+    heavy, light = groups.where(F.col(size) * HEAVY >= total), groups.where(F.col(size) * HEAVY < total)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
+def row_mark(text: Column) -> Column:
+    """A 64-bit mark of a text; with the id it tells rows apart that share an id."""
+    return F.xxhash64(text)
+
+
+def keep_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``found`` (id, mark, kept) does not keep; all columns stay, whatever their names.
+
+    ``found`` has a row for each row of a group of several.  Decisions are by
+    row, so texts that share an id don't fall together; of rows that repeat in
+    id and text one stays.  Null ids are ids like any other.
+    """
+    i, m = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "mark"))
+    marked = docs.withColumn(m, row_mark(F.col(text_col)))
+
+    def meets(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        keys = side.select(F.col("id").alias(i), F.col("mark").alias(f"{m}_r"))
+        return left.join(small(keys, keys.count()), left[id_col].eqNullSafe(F.col(i)) & (left[m] == F.col(f"{m}_r")), how)
+
+    out = meets(found.where(~F.col("kept")).select("id", "mark").distinct(), "left_anti", marked)
+    again = found.where("kept").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", "mark")
+    if not again.isEmpty():
+        out = meets(again, "left_anti", out).unionByName(meets(again, "left_semi", out).dropDuplicates([id_col, m]))
+    return out.drop(m)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hash_sample, pick
+from vecloom.llm.common import fold, hash_sample, pick
 
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
 WINDOW = 256
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     What reaches the driver are SAMPLE_WINDOWS windows of each of these rows.
     """
-    rows = hash_sample(pick(labelled, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL"), "id", most, seed)
+    rows = hash_sample(pick(labelled, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL"), ["id", "text"], most, seed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +163,10 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     """id, lang_pred, score, n_windows for each row.
 
     ``und`` with score 0 if the text is null or has no letter, or if there is no
-    network.  Every window of a text counts, however long it is.
+    network.  Every window of a text counts, however long it is.  Of equal
+    probabilities the first name in order wins.  Equal texts get equal answers,
+    so repeated rows do; other columns are not read, whatever their names.  An
+    empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = pick(docs, id=id_col, text=text_col)
@@ -209,4 +212,4 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
 def learned_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows to learn from: crc32 of the id's text modulo 3 is not 1."""
-    return docs.where(F.crc32(F.col(id_col).cast("string")) % 3 != 1)
+    return docs.where(fold(F.col(id_col), 3) != 1)
