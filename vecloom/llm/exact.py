@@ -1,24 +1,35 @@
 """Exact dedup by a log-structured merge index of text digests (native).
 
-Flush: each scan task is a memtable.  It collapses its own rows by digest,
-sorts them and writes one sorted run with Bloom filters and min/max statistics
-on the digest (level 0).  Compaction merges all runs into level 1: one entry a
-digest, with the smallest identifier among the rows that hold the most code
-points.  Lookup: a digest with one row needs nothing more; digests with several
-rows (hits) are verified byte by byte, and texts that share a digest but not
-their bytes are split into classes of their own.
+Flush: the rows of a batch are dealt to memtables.  Each collapses its rows by
+digest (smallest identifier among the rows of most code points, number of rows)
+and is written as a run sorted by digest, with a filter: a bitmap in blocks,
+one bit a digest, PER_DIGEST bits for each.  Compaction probes the filters
+first: a digest whose bit no second run has set is in one run alone and moves
+to the next level as it is; the others are merged, FAN runs to one, level by
+level, until one run is left.  Lookup probes the filters, then the last level,
+then compares the bytes.  Digests of one row need nothing more; those of several
+(hits) are verified byte by byte, and texts that share a digest but not their
+bytes are split into classes of their own.
 
 Only DataFrame functions run here: no Python on the executors.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import BLANKS, pick, scratch, small, stored
+from vecloom.llm.common import BLANKS, join_groups, keep_rows, pick, row_mark, small, stored
+
+#: Memtables of a batch, and runs that a compaction merges to one.
+MEMTABLES = 4
+FAN = 4
+#: Bits of a filter for each digest, bits of one of its blocks, and blocks (4 KB each) that are broadcast at most.
+PER_DIGEST = 16
+BLOCK = 32_768
+BROADCAST_BLOCKS = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -26,55 +37,139 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def _entry() -> Column:
     """Orders the rows of a class: most code points, then smallest id, null ids last."""
     return F.struct((-F.col("points")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
 
 
+def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, points, mark, digest of each row."""
+    points = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    return pick(docs, id=id_col, text=text_col).select("id", points.alias("points"), row_mark(F.col("text")).alias("mark"), _digest(F.col("text")).alias("digest"))
+
+
+def _blocks(digests: int) -> int:
+    """Blocks of a filter for so many digests."""
+    return max(1, -(-digests * PER_DIGEST // BLOCK))
+
+
+def _place(key: str, blocks: int) -> tuple[Column, Column]:
+    """Block and bit of a key in a filter."""
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(blocks)).alias("block"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(BLOCK)).alias("bit")
+
+
+def bitmap(rows: DataFrame, key: str, blocks: int, *by: str) -> DataFrame:
+    """by, block, bits: a filter of the keys for each value of the columns ``by``."""
+    return rows.select(*by, *_place(key, blocks)).groupBy(*by, "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def shared_bits(of_runs: DataFrame) -> DataFrame:
+    """level_run, block, bits: the bits that at least two of the runs to merge have set, from (level_run, place, block, bits)."""
+    pairs = of_runs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1)))).where("other != place")
+    pairs = pairs.select("level_run", "block", F.least("place", "other").alias("a"), F.greatest("place", "other").alias("b"), "bits")
+    met = pairs.groupBy("level_run", "block", "a", "b").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("sides")).where("sides = 2")
+    return met.groupBy("level_run", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def probe(rows: DataFrame, bits: DataFrame, key: str, blocks: int, total: int, *by: str) -> DataFrame:
+    """``rows`` with ``maybe``: whether the filter has the bit of their key; ``total`` is the filter's number of blocks."""
+    block, bit = _place(key, blocks)
+    met = rows.select("*", block, bit).join(F.broadcast(bits) if total <= BROADCAST_BLOCKS else bits, [*by, "block"], "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return met.withColumn("maybe", F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))).drop("block", "bit", "bits")
+
+
 @dataclass
 class DigestIndex:
-    """An LSM index.  ``runs`` are level-0 folders, ``level1`` the compacted entries."""
+    """An LSM index.  ``log`` are the rows flushed, ``level`` the runs (run, digest, best, n) of the present level."""
 
     spark: SparkSession
-    runs: list[str]
-    level1: DataFrame | None = None
+    runs: int = 0
+    log: DataFrame | None = None
+    level: DataFrame | None = None
+    #: Of each compaction: runs before, digests, and digests that the filters sent to be merged.
+    merges: list[tuple[int, int, int]] = field(default_factory=list)
 
     @staticmethod
     def empty(spark: SparkSession) -> DigestIndex:
-        return DigestIndex(spark, [])
+        return DigestIndex(spark)
 
     def flush(self, docs: DataFrame, id_col: str, text_col: str) -> DigestIndex:
-        """Add a batch as sorted runs, one a task, with a Bloom filter a row group."""
-        path = scratch(self.spark, "run")
-        rows = pick(docs, id=id_col, text=text_col).select(
-            "id",
-            F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
-            F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"),
-        )
-        (
-            rows.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(path)
-        )
-        return DigestIndex(self.spark, [*self.runs, path], None)
-
-    def entries(self) -> DataFrame:
-        """All level-0 rows: id, digest, points."""
-        if not self.runs:
-            raise ValueError("the index holds no run; flush a batch first")
-        return self.spark.read.parquet(*self.runs)
+        """Add a batch: rows go to memtables by a hash, and each memtable is written as one run."""
+        entries = _entries(docs, id_col, text_col)
+        log = stored(entries.withColumn("run", (F.pmod(F.xxhash64("id", "mark"), F.lit(MEMTABLES)) + self.runs).cast("int")), "log")
+        runs = log.groupBy("run", "digest").agg(F.min(_entry()).alias("best"), F.count(F.lit(1)).alias("n"))
+        runs = stored(runs.sortWithinPartitions("run", "digest"), "level0")
+        return DigestIndex(self.spark, self.runs + MEMTABLES, log if self.log is None else self.log.unionByName(log), runs if self.level is None else self.level.unionByName(runs), self.merges)
 
     def compact(self) -> DigestIndex:
-        """Merge the runs: a row for each digest.  Partial sums before the shuffle keep hot digests small."""
-        merged = self.entries().groupBy("digest").agg(F.min(_entry()).alias("best"), F.count(F.lit(1)).alias("n"))
-        return DigestIndex(self.spark, self.runs, stored(merged, "level1"))
+        """Merge runs level by level until one is left: a row for each digest."""
+        if self.level is None:
+            raise ValueError("the index holds no run; flush a batch first")
+        runs, level, merges = self.runs, self.level, list(self.merges)
+        while runs > 1:
+            after = -(-runs // FAN)
+            digests = level.count()
+            blocks = _blocks(-(-digests // after))
+            met = level.select(F.floor(F.col("run") / FAN).cast("int").alias("level_run"), (F.col("run") % FAN).alias("place"), "digest", "best", "n")
+            shared = stored(shared_bits(bitmap(met, "digest", blocks, "level_run", "place")), "filter")
+            probed = probe(met, shared, "digest", blocks, after * blocks, "level_run")
+            apart = probed.where(~F.col("maybe")).select("level_run", "digest", "best", "n")
+            merged = probed.where("maybe").groupBy("level_run", "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+            path = stored(merged, "merged")
+            level = stored(apart.unionByName(path).withColumnRenamed("level_run", "run"), "level")
+            merges.append((runs, digests, digests - level.count() + path.count()))
+            runs = after
+        return DigestIndex(self.spark, runs, self.log, level, merges)
+
+    def lookup(self, docs: DataFrame, id_col: str, text_col: str, held: DataFrame) -> DataFrame:
+        """Which of ``docs`` have a text that the index holds: id, keep_id.
+
+        The filter is probed first, then the entries; a hit counts if its bytes
+        equal those of the kept row in ``held``, the rows that were flushed.
+        """
+        index = self if self.runs == 1 else self.compact()
+        blocks = _blocks(index.level.count())
+        bits = bitmap(index.level, "digest", blocks)
+        asked = pick(docs, id=id_col, text=text_col).select("id", normalised(F.col("text")).alias("norm"), _digest(F.col("text")).alias("digest"))
+        maybe = probe(asked, bits, "digest", blocks, blocks).where("maybe").join(index.level, "digest").select("id", "norm", "digest", "best")
+        kept = pick(held, keep_id=id_col, text=text_col).select("keep_id", normalised(F.col("text")).alias("kept_norm"))
+        met = maybe.join(kept, F.col("best.id").eqNullSafe(F.col("keep_id")) & (F.col("norm") == F.col("kept_norm")))
+        return met.select("id", "keep_id").distinct()
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, points, digest, mark, best, n of each row: its class of equal texts; mark is null where the class is this row alone."""
+    index = DigestIndex.empty(docs.sparkSession).flush(docs, id_col, text_col).compact()
+    total = index.log.count()
+    alone = index.level.where("n = 1").select(F.col("best.id").alias("id"), (-F.col("best.neg")).alias("points"), "digest", F.lit(None).cast("long").alias("mark"), "best", "n")
+    hits = stored(index.level.where("n > 1").select("digest", "n"), "hits")
+    several = join_groups(index.log, hits, "digest", total).drop("n", "run")
+    # Byte verification.  A filter of the marks keeps all other texts out of digests and shuffles;
+    # copies collapse in the map tasks, so about one text a class and task is shuffled.
+    blocks = _blocks(hits.count())
+    marked = pick(docs, id=id_col, text=text_col).withColumn("mark", row_mark(F.col("text")))
+    maybe = probe(marked, stored(bitmap(several, "mark", blocks), "marks"), "mark", blocks, blocks).where("maybe")
+    texts = maybe.select("id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), "mark", normalised(F.col("text")).alias("norm"), _digest(F.col("text")).alias("digest"))
+    seen = join_groups(texts, hits, "digest", total).groupBy("digest", "norm").agg(F.min(_entry()).alias("best"), F.count(F.lit(1)).alias("n"))
+    classes = stored(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.first("best").alias("best"), F.first("n").alias("n")), "verified")
+    rows = join_groups(index.log.drop("run"), classes.where("variants = 1").drop("variants"), "digest", total).select(*alone.columns)
+    unlike = classes.where("variants > 1").select("digest")
+    if not unlike.isEmpty():
+        # Digests whose rows differ in bytes: classes by the bytes themselves.
+        w = Window.partitionBy("digest", "norm")
+        apart = texts.join(unlike, "digest", "left_semi").withColumn("best", F.min(_entry()).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+        rows = rows.unionByName(apart.select(*alone.columns))
+    return alone.unionByName(rows)
 
-    def lookup(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Which of ``docs`` have a text that the index holds: id, keep_id (verified by nothing but the digest)."""
-        level1 = (self if self.level1 is not None else self.compact()).level1
-        probe = pick(docs, id=id_col, text=text_col).select("id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
-        return probe.join(level1, "digest").select("id", F.col("best.id").alias("keep_id"))
+
+def _kept() -> Column:
+    return F.col("id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.neg"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,49 +177,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when they are identical without ``[\\x20\\x09-\\x0D]``; null
     equals empty.  Of equal texts the row with the most code points stays, ties
-    go to the smallest id and null ids come last.  An id that occurs in several
-    rows is counted once for each row, and all rows of the id that stays say
-    ``kept`` if they have its length; so distinct rows need distinct ids.
-    An empty table gives an empty result.
+    go to the smallest id and null ids come last.  Rows that share id and text
+    are told apart by nothing, so all of them say ``kept`` if one does; very long
+    texts are read whole.  Other columns are not read, whatever their names.  An
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    index = DigestIndex.empty(spark).flush(docs, id_col, text_col).compact()
-    hits = index.level1.where("n > 1").select("digest")
-    texts = pick(docs, id=id_col, text=text_col).select(
-        "id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), normalised(F.col("text")).alias("norm"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")
-    )
-    # Byte verification.  Copies collapse in the map tasks, so about one text a class and task is shuffled.
-    seen = texts.join(small(hits, hits.count()), "digest", "left_semi").groupBy("digest", "norm").agg(F.min(_entry()).alias("best"), F.count(F.lit(1)).alias("n"))
-    classes = stored(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.first("best").alias("best"), F.first("n").alias("n")), "verified")
-    known = classes.where("variants = 1").select("digest", "best", "n").unionByName(index.level1.where("n = 1").select("digest", "best", "n"))
-    rows = index.entries().join(known, "digest").select("id", "points", "digest", "best", "n")
-    unlike = classes.where("variants > 1").select("digest")
-    if not unlike.isEmpty():
-        # Digests whose rows differ in bytes: classes by the bytes themselves.
-        w = Window.partitionBy("digest", "norm")
-        apart = texts.join(unlike, "digest", "left_semi").select("id", "points", "digest", F.min(_entry()).over(w).alias("best"), F.count(F.lit(1)).over(w).alias("n"))
-        rows = rows.unionByName(apart)
-    return rows.select(
+    return classified(docs, id_col, text_col).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.neg"))).alias("kept"),
+        _kept().alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that lose to an equal text; all columns stay as they are.
+    """``docs`` with one row of each class of equal texts, the one that :func:`exact_dedup` keeps; all columns stay as they are.
 
-    Rows that repeat the id that stays collapse into one.  Rows of a null id stay.
+    Rows fall one by one: texts that differ all stay, also under one id or a
+    null one.  Of rows with the same id and text one stays, an arbitrary one if
+    they differ in other columns.  An empty table stays empty.
     """
-    found = stored(exact_dedup(docs, id_col, text_col), "classes")
-    lost = found.where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
-    out = docs.join(small(lost, lost.count()), docs[id_col] == F.col("__id"), "left_anti")
-    again = found.where("kept").groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND __id IS NOT NULL").select("__id")
-    repeats = again.count()
-    if not repeats:
-        return out
-    again = small(again, repeats)
-    once = out.join(again, out[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return out.join(again, out[id_col] == F.col("__id"), "left_anti").unionByName(once)
+    found = stored(classified(docs, id_col, text_col).where("n > 1").select("id", "mark", _kept().alias("kept")), "classes")
+    return keep_rows(docs, found, id_col, text_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm import bpe, exact, langid, licenses, media, mixing, sharding, simhash, toxicity, wordpiece
-from vecloom.llm.common import bounded_batches, table
+from vecloom.llm.common import bounded_batches, fold, table
 
 
 def op1_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(langid.learned_rows(docs)))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score", "n_windows")
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "n_windows")
 
 
 def op2_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")), "id")
     return toxicity.score(docs, model).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms"
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits", "terms"
     )
 
 
@@ -91,19 +91,23 @@ WITH mass AS (
   SELECT source, SUM(strlen(COALESCE(text, '')) + 1) AS mass FROM documents GROUP BY source
 ), rates AS (
   SELECT source, 1.0::DOUBLE * 1.0::DOUBLE * (SUM(mass) OVER ())::DOUBLE / ((SUM(1.0::DOUBLE) OVER ()) * mass::DOUBLE) AS rate FROM mass
+), parts AS (
+  SELECT source, greatest(CAST(ceil(rate / 64) AS BIGINT), 1) AS rounds, rate / greatest(CAST(ceil(rate / 64) AS BIGINT), 1) AS part FROM rates WHERE rate > 0
 ), terms AS (
-  SELECT source, rate, UNNEST(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rates
+  SELECT source, part, UNNEST(range(0, CAST(ceil(part + 12 * sqrt(part) + 30) AS BIGINT) + 1)) AS k FROM parts
 ), logs AS (
-  SELECT source, k, SUM(CASE WHEN k = 0 THEN -rate ELSE ln(rate / k) END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS lg FROM terms
+  SELECT source, k, SUM(CASE WHEN k = 0 THEN -part ELSE ln(part / k) END) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS lg FROM terms
 ), sums AS (
   SELECT source, k, SUM(exp(lg)) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM logs
 ), arrays AS (
   SELECT source, list(cdf ORDER BY k) AS cdf FROM sums GROUP BY source
+), rounds AS (
+  SELECT source, UNNEST(range(0, rounds)) AS round FROM parts
 ), drawn AS (
-  SELECT d.*, len(list_filter(a.cdf, lambda c: c <= (('0x' || substr(md5('17|' || COALESCE(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)) AS n
-  FROM documents d JOIN arrays a ON d.source IS NOT DISTINCT FROM a.source
+  SELECT d.*, r.round, len(list_filter(a.cdf, lambda c: c <= (('0x' || substr(md5('17|' || COALESCE(d.doc_id::VARCHAR, '') || CASE WHEN r.round = 0 THEN '' ELSE '|' || r.round END), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)) AS n
+  FROM documents d JOIN arrays a ON d.source IS NOT DISTINCT FROM a.source JOIN rounds r ON d.source IS NOT DISTINCT FROM r.source
 ), copies AS (
-  SELECT *, UNNEST(range(0, n)) AS mix_copy FROM drawn WHERE n > 0
+  SELECT *, UNNEST(range(0, n)) + round * 256 AS mix_copy FROM drawn WHERE n > 0
 )
 """
 

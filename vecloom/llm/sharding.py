@@ -1,101 +1,152 @@
 """Shards of near equal bytes by Karmarkar-Karp differencing.
 
-Groups of equal texts are indivisible.  Groups of at least 1/``items`` of all
-bytes (so ``items`` groups at most) stand alone; the others are bundled by a
-hash of their digest into ``items`` bundles.  Differencing over these
-``2 * items`` sizes at most, whatever the input, repeatedly combines the two
-partial partitions of largest spread, oppositely ordered.  The sums and the
-assignment of rows are DataFrame operations.
+Groups of equal texts are indivisible.  They are dealt to chunks by a hash of
+their digest; differencing within a chunk repeatedly combines the two partial
+partitions of largest spread, oppositely ordered, and ends with one partition of
+the chunk into ``shards`` places.  The partitions of the chunks are then
+combined by the very same rule, FAN of them at a time on the executors until FAN
+or fewer are left for the driver: a tree of differencing, in which no step holds
+more than one chunk or FAN partitions.  Sums and the assignment of rows are
+DataFrame operations.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import pick, small, stored
+from vecloom.llm.common import join_groups, pick, small, stored
 
+#: Groups of a chunk on average, and partitions that one step combines.
+CHUNK = 8192
+FAN = 2048
 
-def difference(sizes: list[tuple[str, int]], k: int) -> tuple[dict[str, int], list[int]]:
-    """k-way largest differencing: part of each key, and the sums of the parts.
 
-    Ties between partial partitions are broken by the order of the keys, so the
-    result depends on the sizes and keys alone.
+def combine(partitions: Iterable[tuple[object, list[int]]], k: int) -> tuple[dict[object, list[int]], list[int]]:
+    """Differencing of partial partitions (key, sums of its k places): the part of each place, and the sums of the parts.
+
+    A single item is a partition with all of its size at place 0.  Ties of
+    spread are broken by the order of sums and keys, so the result depends on
+    these alone.
     """
     heap = []
-    for order, (key, size) in enumerate(sorted(sizes, key=lambda x: (-x[1], x[0]))):
-        # A partial partition: sums in ascending order, with the members of each part.
-        heap.append((-size, order, [0] * (k - 1) + [size], [()] * (k - 1) + [(key, None)]))
+    for order, (key, sums) in enumerate(sorted(partitions, key=lambda x: (sorted(x[1], reverse=True), x[0]), reverse=True)):
+        # Sums in ascending order, with the members of each; places without bytes hold no group.
+        places = sorted((s, i) for i, s in enumerate(sums))
+        heap.append((places[0][0] - places[-1][0], order, [s for s, _ in places], [((key, i),) if s else () for s, i in places]))
     heapq.heapify(heap)
-    order = len(heap)
+    order, keys = len(heap), [h[3] for h in heap]
     while len(heap) > 1:
         _, _, a, in_a = heapq.heappop(heap)
         _, _, b, in_b = heapq.heappop(heap)
-        # Largest meets smallest.  Members are pairs of nested pairs, so joining two parts takes constant time.
-        both = sorted(((x + y, i) for i, (x, y) in enumerate(zip(a, reversed(b), strict=True))), key=lambda x: x)
-        members = [(in_a[i], in_b[k - 1 - i]) for _, i in both]
+        # Largest meets smallest.  Members are nested pairs, so joining two parts takes constant time.
+        both = sorted((x + y, i) for i, (x, y) in enumerate(zip(a, reversed(b), strict=True)))
+        members = [[in_a[i], in_b[k - 1 - i]] for _, i in both]
         sums = [x for x, _ in both]
-        heapq.heappush(heap, (-(sums[-1] - sums[0]), order, sums, members))
+        heapq.heappush(heap, (sums[0] - sums[-1], order, sums, members))
         order += 1
-    if not heap:
+    if not keys:
         return {}, [0] * k
     _, _, sums, members = heap[0]
-    part = {}
+    part: dict[object, list[int]] = {}
     for i, tree in enumerate(members):
         stack = [tree]
         while stack:
             node = stack.pop()
-            if not node:
-                continue
-            if isinstance(node[0], str):
-                part[node[0]] = i
-            else:
+            if isinstance(node, list):
                 stack.extend(node)
+            else:
+                for key, place in node:
+                    part.setdefault(key, [0] * k)[place] = i
     return part, sums
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, items: int = 4096, rows_per_bucket: int = 20_000) -> DataFrame:
+def difference(sizes: list[tuple[str, int]], k: int) -> tuple[dict[str, int], list[int]]:
+    """k-way largest differencing of single items: the part of each key, and the sums of the parts."""
+    part, sums = combine([(key, [size] + [0] * (k - 1)) for key, size in sizes], k)
+    return {key: places[0] for key, places in part.items()}, sums
+
+
+def places(groups: DataFrame, shards: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """digest, shard for each group (digest, bytes, n) of texts."""
+    spark = groups.sparkSession
+    chunks = max(1, -(-groups.count() // chunk))
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        part, _ = difference(list(zip(rows["digest"], rows["bytes"].tolist())), shards)
+        return pd.DataFrame({"chunk": rows["chunk"], "digest": rows["digest"], "bytes": rows["bytes"], "place": [part[d] for d in rows["digest"]]})
+
+    dealt = groups.select(F.pmod(F.xxhash64("digest"), F.lit(chunks)).alias("chunk"), "digest", "bytes")
+    own = stored(dealt.groupBy("chunk").applyInPandas(within, "chunk long, digest binary, bytes long, place int"), "chunks")
+    sums = [F.sum(F.when(F.col("place") == i, F.col("bytes")).otherwise(0)) for i in range(shards)]
+    level = stored(own.groupBy(F.col("chunk").alias("node")).agg(F.array(*sums).alias("sums")), "level")
+    # top: where each place of a chunk is in its node of the present level.
+    top, nodes = level.select(F.col("node").alias("chunk"), "node", F.array(*map(F.lit, range(shards))).alias("places")), chunks
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        part, total = combine([(int(n), [int(x) for x in s]) for n, s in zip(rows["node"], rows["sums"])], shards)
+        return pd.DataFrame({"node": list(part), "above": int(rows["above"].iloc[0]), "to": list(part.values()), "sums": [total] * len(part)})
+
+    shape = "node long, above long, `to` array<int>, sums array<bigint>"
+    while nodes > 1:
+        above = -(-nodes // fan)
+        if above > 1:
+            found = stored(level.withColumn("above", F.pmod(F.xxhash64("node", F.lit(above)), F.lit(above))).groupBy("above").applyInPandas(merged, shape), "level")
+        else:
+            rows = level.withColumn("above", F.lit(0).cast("long")).toPandas()  # FAN rows at most
+            found = spark.createDataFrame(merged(rows), shape) if len(rows) else level.selectExpr("node", "node AS above", "array(0) AS `to`", "sums")
+        turned = F.transform("places", lambda p: F.element_at("to", p + 1))
+        top = stored(top.join(small(found.select("node", "above", "to"), nodes), "node").select("chunk", F.col("above").alias("node"), turned.alias("places")), "places")
+        level, nodes = found.groupBy(F.col("above").alias("node")).agg(F.first("sums").alias("sums")), above
+    return own.join(small(top.select("chunk", "places"), chunks), "chunk").select("digest", F.element_at("places", F.col("place") + 1).alias("shard"))
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, chunk: int = CHUNK, fan: int = FAN, rows_per_bucket: int = 20_000) -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``: sums of size (UTF-8 bytes plus 1) are near equal, and
     equal texts share a shard.  A null text counts as empty: size 1, crc32 0,
     in the group of empty texts.  Slots count from 0 without gaps in each shard;
     rows of a bucket are numbered in the order of their ids, null ids first, and
-    rows that are the same in every respect in any order.  ``grown_shard`` is null.
-    An empty table gives an empty result.
+    rows that are the same in every respect are counted before they are numbered.
+    ``grown_shard`` is null.  Very long texts are sizes like any other, columns
+    besides id and text are not read.  An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stored(
         pick(docs, id=id_col, text=text_col).select(
-            "id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("digest"),
+            "id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("digest"),
         ),
         "rows",
     )
     groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
-    total, n = groups.agg(F.sum("bytes"), F.sum("n")).first()
-    total, n = total or 0, n or 0
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("digest"), F.lit(items)).cast("string"))
-    large = groups.where(F.col("bytes") * items >= total).select("digest", F.concat(F.lit("g"), F.lower(F.hex("digest"))).alias("item"), "bytes")
-    rest = groups.where(F.col("bytes") * items < total).groupBy(bundle.alias("item")).agg(F.sum("bytes").alias("bytes"))
-    sizes = [tuple(r) for r in large.select("item", "bytes").unionByName(rest).collect()]  # 2 * items at most
-    part, _ = difference(sizes, shards)
-    spark = docs.sparkSession
-    where = spark.createDataFrame([(k, v) for k, v in sorted(part.items())], "item string, shard int")
-    placed = (
-        rows.join(F.broadcast(large.select("digest", "item")), "digest", "left")  # items rows at most
-        .select("id", "size", "crc", F.coalesce("item", bundle).alias("item"))
-        .join(small(where, len(part), 2 * items), "item")
-        .select("id", "size", "crc", "shard")
-    )
+    n = rows.count()
+    where = stored(groups.select("digest", "n").join(places(groups, shards, chunk, fan), "digest"), "shards")
     buckets = max(1, -(-n // (shards * rows_per_bucket)))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64("id", "size", "crc", F.lit(7)), F.lit(buckets)).cast("int").alias("bucket")
+    # Equal rows are counted first, so that no bucket holds more rows than it has different ones.
+    placed = join_groups(rows, where, "digest", n).select("shard", bucket, "id", "size", "crc")
+    placed = stored(placed.groupBy("shard", "bucket", "id", "size", "crc").agg(F.count(F.lit(1)).alias("copies")), "counted")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("shard", "bucket").orderBy("id", "size", "crc")
-    numbered = placed.withColumn("r", F.row_number().over(own)).join(small(offsets, buckets * shards), ["shard", "bucket"])
-    return numbered.select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("offset") + F.col("r") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    counts = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("rows"))
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    own = Window.partitionBy("shard", "bucket").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("r", F.coalesce(F.sum("copies").over(own), F.lit(0))).join(small(offsets, buckets * shards), ["shard", "bucket"])
+    first = F.col("offset") + F.col("r")
+    each = numbered.withColumn("slot", F.explode(F.sequence(first, first + F.col("copies") - 1)))
+    return each.select(
+        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def spread(placed: DataFrame, shards: int = 8) -> tuple[int, float]:
+    """Bytes between the largest and the smallest shard of a result of :func:`shard`, and their part of the mean."""
+    sums = np.zeros(shards, np.int64)
+    for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():  # a row a shard
+        sums[r.shard] = r.bytes
+    return int(sums.max() - sums.min()), float((sums.max() - sums.min()) / max(sums.mean(), 1))
