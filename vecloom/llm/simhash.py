@@ -3,19 +3,21 @@
 Fingerprints: each bit is the majority over the XXH64 (seed 42) of all 3-word
 shingles.  The distinct fingerprints form a table with their Hamming distances
 to ``PIVOTS`` reference fingerprints.  By the triangle inequality two
-fingerprints within distance ``r`` differ by at most ``r`` in every coordinate,
-so pairs whose largest coordinate difference exceeds ``r`` are discarded, and
-the survivors are verified on their bits.
-
-Pairs meet in blocks, so that nothing is compared with the whole table: the 64
-bits are cut into ``parts`` segments, and as ``r`` flipped bits reach ``r``
-segments at most, two linked fingerprints agree on ``parts - r`` segments.  A
-block holds the fingerprints that agree on one such choice.  A block of more
-than ``most`` members is not joined with itself: each of its members links to
-the neighbours that it shares with others.  Two fingerprints are within distance
-2 exactly if some third one is within distance 1 of both, and at most 65
-fingerprints share such a neighbour; so dense groups cost 65 rows a member,
-never the square of their size, and no link is lost.
+fingerprints within distance ``r`` differ by at most ``r`` in every coordinate.
+The first coordinates are cut into cells of ``r + 1``, and a pair meets only if
+its cells are the same or neighbours; pairs that meet and differ by more than
+``r`` in any other coordinate are discarded, and the survivors are verified on
+their bits.
+
+Within the cells pairs meet by blocks, so that nothing is compared with the
+whole table: the 64 bits are cut into ``parts`` segments, and as ``r`` flipped
+bits reach ``r`` segments at most, two linked fingerprints agree on ``parts - r``
+segments.  A cell of a block in which more than ``most`` squared pairs would meet
+is not joined: each of its members links to the neighbours that it shares with
+others.  Two fingerprints are within distance 2 exactly if some third one is
+within distance 1 of both, and at most 65 fingerprints share such a neighbour;
+so dense groups cost 65 rows a member, never the square of their size, and no
+link is lost.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import pick, small, stored
+from vecloom.llm.common import join_groups, keep_rows, pick, row_mark, small, stored
 
 #: Reference fingerprints: XXH64 (seed 9) of the decimal numbers from 0.
 PIVOTS = 16
+#: Coordinates that are cut into cells.
+CELLS = 2
 SHINGLE = 3
 RADIUS = 2
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -45,29 +49,34 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(str(i).encode(), 9)).astype(np.int64)) for i in range(n)]
 
 
-def _blocks(data: bytes) -> Iterator[list[bytes]]:
-    """Words in order; of a very long text in blocks that overlap by ``SHINGLE - 1`` words, so every shingle comes once."""
+def word_blocks(data: bytes, shingle: int = SHINGLE) -> Iterator[list[bytes]]:
+    """Words in order; of a very long text in blocks that overlap by ``shingle - 1`` words, so every shingle comes once."""
     if len(data) <= _LONG:
         yield data.split()
         return
     found, carry = (m.group() for m in _WORD.finditer(data)), []
     while block := list(itertools.islice(found, 500_000)):
         yield carry + block
-        carry = (carry + block)[1 - SHINGLE :]
+        carry = (carry + block)[1 - shingle :]
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprint(text: str | None) -> int:
     """The fingerprint of a whole text, unsigned; zero for a text without words."""
     digest, seed = xxhash.xxh64_intdigest, itertools.repeat(42)
     ones, n, last = np.zeros(64, np.int64), 0, []
-    for words in _blocks((text or "").encode("utf-8", "replace").lower()):
+    for words in word_blocks((text or "").encode("utf-8", "replace").lower()):
         last = words
         if len(words) < SHINGLE:
             continue
         for at in range(0, len(words) - SHINGLE + 1, 8192):
             part = words[at : at + 8192 + SHINGLE - 1]
             h = np.fromiter(map(digest, map(b" ".join, zip(part, part[1:], part[2:])), seed), np.uint64)
-            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones += majority(h)
             n += len(h)
     if not n:
         if not last:
@@ -77,16 +86,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a signed long) for each row; ids may repeat or be null."""
+    """id, mark, fp (the 64 bits as a signed long) for each row; ids may repeat or be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "mark", "fp"])
 
-    rows = pick(docs, id=id_col, text=text_col)
+    rows = pick(docs, id=id_col, text=text_col).select("id", row_mark(F.col("text")).alias("mark"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, f"id {kind}, mark long, fp long")
 
 
 def distances(fp: Column, references: list[int]) -> Column:
@@ -94,18 +103,43 @@ def distances(fp: Column, references: list[int]) -> Column:
     return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte") for p in references))
 
 
-def _near(a: Column, b: Column, n: int, radius: int) -> Column:
-    """Whether no coordinate differs by more than the radius."""
+def undiscarded(a: Column, b: Column, first: int, radius: int) -> Column:
+    """Whether no coordinate from ``first`` on differs by more than the radius."""
     out = F.lit(True)
-    for i in range(n):
+    for i in range(first, PIVOTS):
         out = out & (F.abs(a[i].cast("int") - b[i].cast("int")) <= radius)
     return out
 
 
+def apart(a: Column, b: Column) -> Column:
+    """The Hamming distance of two fingerprints."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def own_cell(d: Column, radius: int = RADIUS) -> Column:
+    """The cell of a fingerprint in the first CELLS coordinates, as one number."""
+    out = F.lit(0)
+    for i in range(CELLS):
+        out = out * 100 + F.floor(d[i].cast("int") / (radius + 1)).cast("int")
+    return out
+
+
+def near_cells(d: Column, radius: int = RADIUS) -> Column:
+    """All cells in which a fingerprint within the radius may be: the own one and the neighbours that the radius reaches."""
+    def crossed(cells: Column, x: Column) -> Column:
+        reach = F.sequence(F.floor((x - radius) / (radius + 1)).cast("int"), F.floor((x + radius) / (radius + 1)).cast("int"))
+        return F.flatten(F.transform(cells, lambda c: F.transform(reach, lambda y: c * 100 + y)))
+
+    out = F.array(F.lit(0))
+    for i in range(CELLS):
+        out = crossed(out, d[i].cast("int"))
+    return out
+
+
 def segment_masks(rows: int, radius: int = RADIUS) -> list[int]:
     """Masks of the blocks: as many segments as make a block hold a few of ``rows`` evenly spread fingerprints."""
     parts = radius + 1
-    while parts < 8 and rows > 2 ** (64 * (parts - radius) // parts):
+    while parts < 8 and rows > 8 * 2 ** (64 * (parts - radius) // parts):
         parts += 1
     edges = [64 * i // parts for i in range(parts + 1)]
     own = [sum(1 << j for j in range(edges[i], edges[i + 1])) for i in range(parts)]
@@ -116,31 +150,43 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def links(distinct: DataFrame, rows: int, most: int = 32) -> DataFrame:
+def blocks(distinct: DataFrame, rows: int) -> DataFrame:
+    """fp, d, k, bits: a row for each block of each of the ``rows`` distinct fingerprints of column ``fp``; d are its coordinates."""
+    parts = F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(segment_masks(rows))))
+    return distinct.select("fp", distances(F.col("fp"), pivots()).alias("d")).select("fp", "d", F.explode(parts).alias("block")).select("fp", "d", "block.k", "block.bits")
+
+
+def links(distinct: DataFrame, rows: int, most: int = 32, report: dict[str, int] | None = None) -> DataFrame:
     """Links among the ``rows`` distinct fingerprints of column ``fp``: a, b with a < b.
 
     Every two fingerprints within the radius are connected by the links, though
-    in a block of more than ``most`` members not each by a link of its own.
+    in a cell of more than ``most`` squared pairs not each by a link of its own.
+    ``report`` receives the pairs that blocks alone would bring together, those
+    that meet in neighbouring cells, those that no pivot discards, and the
+    links; it costs passes of its own.
     """
-    refs = pivots()
-    masks = segment_masks(rows)
-    keyed = distinct.select("fp", distances(F.col("fp"), refs).alias("d")).select(
-        "fp", "d", F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)))).alias("block")
-    ).select("fp", "d", "block.k", "block.bits")
-    sizes = stored(keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "blocks")
-    within = stored(keyed.join(sizes, ["k", "bits"]), "members")
-    few = within.where(F.col("members") <= most)
-    a, b = few.select("k", "bits", F.col("fp").alias("a"), F.col("d").alias("da")), few.select("k", "bits", F.col("fp").alias("b"), F.col("d").alias("db"))
-    pairs = (
-        a.join(b, ["k", "bits"])
-        .where((F.col("a") < F.col("b")) & _near(F.col("da"), F.col("db"), len(refs), RADIUS))
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-        .select("a", "b")
-    )
-    crowd = within.where(F.col("members") > most).select("fp").distinct()
+    keyed = blocks(distinct, rows)
+    home = keyed.select("k", "bits", own_cell(F.col("d")).alias("cell"), "fp", "d", F.lit(1).alias("home"))
+    reach = keyed.select("k", "bits", F.explode(near_cells(F.col("d"))).alias("cell"), "fp", "d", F.lit(0).alias("home"))
+    at = ["k", "bits", "cell"]
+    both = home.unionByName(reach)
+    # A cell with one member that nobody else reaches has two rows.
+    sizes = stored(both.groupBy(*at).agg(F.sum("home").alias("members"), F.count(F.lit(1)).alias("all")).where("members > 0 AND all > 2"), "cells")
+    within = stored(both.join(small(sizes, sizes.count()), at).select(*at, "fp", "d", "home", (F.col("members") * (F.col("all") - F.col("members")) > most * most).alias("crowded")), "members")
+    few = within.where("NOT crowded")
+    a = few.where("home = 0").select(*at, F.col("fp").alias("a"), F.col("d").alias("da"))
+    b = few.where("home = 1").select(*at, F.col("fp").alias("b"), F.col("d").alias("db"))
+    met = a.join(b, at).where(F.col("a") < F.col("b"))
+    left = met.where(undiscarded(F.col("da"), F.col("db"), CELLS, RADIUS))
+    pairs = left.where(apart(F.col("a"), F.col("b")) <= RADIUS).select("a", "b")
+    if report is not None:
+        held = keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n"))
+        report["blocked"] = held.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        report |= {"met": met.count(), "undiscarded": left.count(), "linked": pairs.count(), "crowded": within.where("crowded").select("fp").distinct().count()}
+    crowd = within.where("crowded").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << j)) for j in range(64)))
-    met = crowd.select("fp", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.col("fp")))).alias("z"))
-    shared = met.groupBy("z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    reached = crowd.select("fp", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.col("fp")))).alias("z"))
+    shared = reached.groupBy("z").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     stars = shared.select("a", F.explode("all").alias("b")).where("a < b")
     return pairs.unionByName(stars).distinct()
 
@@ -178,24 +224,47 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Fingerprints link at Hamming distance 2 or less; ``component_id`` is the
     smallest id that a row reaches over links, itself included.  Texts without
-    words (null, empty) have fingerprint zero and link like any other.  Null
-    ids are no component's smallest id unless all its ids are null.  An empty
-    table gives an empty result.
+    words (null, empty) have fingerprint zero and link like any other; very long
+    texts are read block by block.  Repeated rows share fingerprint and
+    component.  Null ids are no component's smallest id unless all its ids are
+    null.  Other columns are not read, whatever their names.  An empty table
+    gives an empty result.
     """
+    return classified(docs, id_col, text_col, most).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, most: int = 32) -> DataFrame:
+    """id, mark, fp, root (the component's smallest fingerprint), component_id of each row."""
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     # Exact copies of a fingerprint collapse before anything is compared.
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), distinct.count(), most))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(placed.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return placed(rows, distinct, roots, "fp").select("id", "mark", "fp", "root", "component_id")
+
+
+def placed(rows: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the ``root`` of the component of their key and its smallest id, ``component_id``, from (key, least, n) and (node, root)."""
+    known = distinct.join(roots, distinct[key] == roots.node, "left").select(key, "least", "n", F.coalesce("root", key).alias("root"))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("keys"))
+    # A component may hold a third of all keys: its rows are met like a hot key.
+    classes = stored(join_groups(known, least, "root", distinct.count(), "keys").select(key, "root", "component_id", "n"), "classes")
+    return join_groups(rows, classes, key, rows.count()).drop("n")
+
+
+def survivors(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each component of (id, mark, root), the one of the smallest id (then mark); null ids come last."""
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    several = join_groups(found, best, "root", found.count(), "size")
+    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    return keep_rows(docs, stored(several.select("id", "mark", kept.alias("kept")), "several"), id_col, text_col)
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies, the one of the smallest id; all columns stay.
+    """``docs`` with one row of each component of near copies, the one of the smallest id; all columns stay, whatever their names.
 
-    Rows of a null id stay, as nothing tells which of them to drop.
+    Rows fall one by one, so that different texts under one id are told apart;
+    of rows with the same id and text one stays.  Null ids come last.  An empty
+    table stays empty.
     """
-    lost = near_dedup(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost_id")).distinct()
-    return docs.join(small(lost, lost.count()), docs[id_col] == F.col("__lost_id"), "left_anti")
+    return survivors(docs, stored(classified(docs, id_col, text_col), "found"), id_col, text_col)
