@@ -78,46 +78,43 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
-State = tuple[tuple[int, ...], tuple[int, ...] | None, str]
+State = tuple[int, int, int, int, int, str]
 
 
 class Levenshtein:
-    """The automaton of the words within ``k`` edits of ``word``: letters put in, left out, replaced, or swapped with their neighbour.
+    """The automaton of the words within ``k`` (1 or 2) edits of ``word``: letters put in, left out, replaced, or swapped with their neighbour.
 
-    A state holds, for each number of edits, the set (as bits) of the lengths of
-    ``word`` that may have been read; the state before it and the last letter
-    serve the swaps.
+    A state holds, for 0, 1 and 2 edits, the set (as bits) of the lengths of
+    ``word`` that may have been read; the sets for 0 and 1 before it and the last
+    letter serve the swaps.
     """
 
     def __init__(self, word: str, k: int):
-        self.n, self.k, self.full = len(word), k, (2 << len(word)) - 1
+        self.n, self.two, self.full = len(word), k > 1, (2 << len(word)) - 1
         self.masks: dict[str, int] = {}
         for i, c in enumerate(word):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
 
     def start(self) -> State:
-        return tuple((2 << d) - 1 & self.full for d in range(self.k + 1)), None, ""
+        return 1, 3 & self.full, 7 & self.full if self.two else 0, 0, 0, ""
 
     def step(self, state: State, c: str) -> State:
-        rows, before, last = state
+        r0, r1, r2, p0, p1, last = state
         here = self.masks.get(c, 0)
-        out = [(rows[0] & here) << 1]
-        swap = here & self.masks.get(last, 0) >> 1 if before else 0
-        for d in range(1, self.k + 1):
-            x = (rows[d] & here) << 1 | rows[d - 1] | rows[d - 1] << 1 | out[d - 1] << 1
-            if swap:
-                x |= (before[d - 1] & swap) << 2
-            out.append(x & self.full)
-        return tuple(out), rows, c
+        swap = here & self.masks.get(last, 0) >> 1
+        a = (r0 & here) << 1
+        b = ((r1 & here) << 1 | r0 | r0 << 1 | a << 1 | (p0 & swap) << 2) & self.full
+        d = ((r2 & here) << 1 | r1 | r1 << 1 | b << 1 | (p1 & swap) << 2) & self.full if self.two else 0
+        return a, b, d, r0, r1, c
 
     def distance(self, state: State) -> int | None:
         """The distance if the state accepts, else None."""
-        return next((d for d, x in enumerate(state[0]) if x >> self.n & 1), None)
+        return next((d for d in range(3) if state[d] >> self.n & 1), None)
 
     @staticmethod
     def alive(state: State) -> bool:
         """Whether what was read is near a beginning of the word."""
-        return any(state[0])
+        return bool(state[0] or state[1] or state[2])
 
 
 def _put(trie: dict, term: str, what: tuple[str, float, bool]) -> None:
@@ -154,29 +151,38 @@ class Lexicon:
                 self.trigrams |= {term[i : i + 3] for i in range(len(term) - 2)}
         sizes = lambda x: sorted(set(map(len, x)))
         self.head_sizes, self.tail_sizes, self.inner_sizes, self.swapped_sizes = sizes(self.heads), sizes(self.tails), sizes(self.inner), sizes(self.swapped)
+        self.stem_sizes = sizes(self.stems)
 
     def _may(self, word: str) -> bool:
         """Whether the word may be one edit from a term."""
-        return (
-            any(word[:n] in self.heads for n in self.head_sizes)
-            or any(word[-n:] in self.tails for n in self.tail_sizes)
-            or any(word[:n] in self.swapped for n in self.swapped_sizes)
-            or any(word[i : i + n] in self.inner for n in self.inner_sizes for i in (n - 2, n - 1, n, n + 1) if i >= 0)
-        )
+        for n in self.head_sizes:
+            if word[:n] in self.heads:
+                return True
+        for n in self.tail_sizes:
+            if word[-n:] in self.tails:
+                return True
+        for n in self.swapped_sizes:
+            if word[:n] in self.swapped:
+                return True
+        for n in self.inner_sizes:
+            for i in range(max(n - 2, 0), n + 2):
+                if word[i : i + n] in self.inner:
+                    return True
+        return False
 
     @staticmethod
     def _walk(trie: dict, word: str, k: int) -> list[tuple[float, str]]:
         """Weights and names of the terms that the word's automaton accepts along the trie."""
         own, found = Levenshtein(word, k), []
-        stack = [(trie, own.start())]
+        step, stack = own.step, [(trie, own.start())]
         while stack:
             node, state = stack.pop()
             for c, below in node.items():
                 if c == "":
                     found += [(weight, name) for name, weight, stem in below if name != word and (stem or own.distance(state) is not None)]
                     continue
-                after = own.step(state, c)
-                if own.alive(after):
+                after = step(state, c)
+                if after[1] or after[2]:  # alive: what no edit reaches, one edit reaches too
                     stack.append((below, after))
         return found
 
@@ -190,12 +196,12 @@ class Lexicon:
     def match(self, word: str) -> tuple[str, float, bool] | None:
         """Term, weight and whether it matched inexactly."""
         best = (word, self.words[word], False) if word in self.words else None
-        for n in STEMS:
-            if (stem := word[:n]) in self.stems and len(word) >= n and (best is None or self.stems[stem] > best[1]):
+        for n in self.stem_sizes:
+            if (stem := word[:n]) in self.stems and (best is None or self.stems[stem] > best[1]):
                 best = (stem + "-", self.stems[stem], False)
         if best is None and len(word) >= FUZZY_FROM - 1:
             found = self._walk(self.trie, word, 1) if self._may(word) else []
-            if len(word) >= LONG_FROM - 2 and self.trigrams and any(word[i : i + 3] in self.trigrams for i in range(len(word) - 2)):
+            if len(word) >= LONG_FROM - 2 and not self.trigrams.isdisjoint([word[i : i + 3] for i in range(len(word) - 2)]):
                 found += self._walk(self.long, word, 2)
             if found:
                 weight, term = max(found)
