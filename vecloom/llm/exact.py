@@ -52,7 +52,7 @@ def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pick(docs, id=id_col, text=text_col).select("id", points.alias("points"), row_mark(F.col("text")).alias("mark"), _digest(F.col("text")).alias("digest"))
 
 
-def _blocks(digests: int) -> int:
+def blocks_for(digests: int) -> int:
     """Blocks of a filter for so many digests."""
     return max(1, -(-digests * PER_DIGEST // BLOCK))
 
@@ -115,7 +115,7 @@ class DigestIndex:
         while runs > 1:
             after = -(-runs // FAN)
             digests = level.count()
-            blocks = _blocks(-(-digests // after))
+            blocks = blocks_for(-(-digests // after))
             met = level.select(F.floor(F.col("run") / FAN).cast("int").alias("level_run"), (F.col("run") % FAN).alias("place"), "digest", "best", "n")
             shared = stored(shared_bits(bitmap(met, "digest", blocks, "level_run", "place")), "filter")
             probed = probe(met, shared, "digest", blocks, after * blocks, "level_run")
@@ -134,7 +134,7 @@ class DigestIndex:
         equal those of the kept row in ``held``, the rows that were flushed.
         """
         index = self if self.runs == 1 else self.compact()
-        blocks = _blocks(index.level.count())
+        blocks = blocks_for(index.level.count())
         bits = bitmap(index.level, "digest", blocks)
         asked = pick(docs, id=id_col, text=text_col).select("id", normalised(F.col("text")).alias("norm"), _digest(F.col("text")).alias("digest"))
         maybe = probe(asked, bits, "digest", blocks, blocks).where("maybe").join(index.level, "digest").select("id", "norm", "digest", "best")
@@ -152,7 +152,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     several = join_groups(index.log, hits, "digest", total).drop("n", "run")
     # Byte verification.  A filter of the marks keeps all other texts out of digests and shuffles;
     # copies collapse in the map tasks, so about one text a class and task is shuffled.
-    blocks = _blocks(hits.count())
+    blocks = blocks_for(hits.count())
     marked = pick(docs, id=id_col, text=text_col).withColumn("mark", row_mark(F.col("text")))
     maybe = probe(marked, stored(bitmap(several, "mark", blocks), "marks"), "mark", blocks, blocks).where("maybe")
     texts = maybe.select("id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), "mark", normalised(F.col("text")).alias("norm"), _digest(F.col("text")).alias("digest"))
