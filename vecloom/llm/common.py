@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that a Python worker holds few texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 * 2**20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 2**20))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -36,7 +36,7 @@ FUZZY_FROM = 5
 LONG_FROM = 11
 WINDOW = 30
 QUOTED = 0.25
-MEMO = 400_000
+MEMO = 120_000
 FEATURES = 8
 #: Terms of an Arrow batch, about, where the terms of texts are listed.
 LISTED = 200_000
