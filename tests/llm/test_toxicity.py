@@ -56,6 +56,14 @@ def test_trie_walk_finds_every_near_term():
             assert (lexicon.match(word) or (None,))[0] == max(found, default=(0, None))[1]
 
 
+def test_passes_over_words_find_the_same():
+    rng = random.Random(4)
+    draw = lambda low, high: "".join(rng.choice("abcde") for _ in range(rng.randrange(low, high)))
+    lexicon = tox.Lexicon({draw(3, 14): rng.random() for _ in range(30)}, {draw(3, 9): rng.random() for _ in range(6)}, {draw(5, 9): rng.random() for _ in range(9)})
+    words = {draw(1, 15) for _ in range(3000)} | {misspelled(rng, w, 1) for w in [*lexicon.words, *lexicon.near, *lexicon.stems] * 5}
+    assert lexicon.matches(words) == {w: hit for w in words if (hit := lexicon.match(w))}
+
+
 def test_misspelled_stems_and_swaps():
     lexicon = tox.Lexicon({"idiot": 1.0, "contemptible": 1.0}, {"imbec": 1.0}, {"imbecile": 2.0})
     for word, term in (("imbecilic", "imbec-"), ("imbcile", "imbecile"), ("imebcility", "imbec-"), ("idoit", "idiot"), ("conetmptibel", "contemptible"), ("cntemptble", "contemptible")):

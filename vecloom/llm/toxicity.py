@@ -36,7 +36,8 @@ FUZZY_FROM = 5
 LONG_FROM = 11
 WINDOW = 30
 QUOTED = 0.25
-MEMO = 120_000
+#: Words of a generation of the memo; the last two are kept, so frequent words stay.
+MEMO = 100_000
 FEATURES = 8
 #: Terms of an Arrow batch, about, where the terms of texts are listed.
 LISTED = 200_000
@@ -208,6 +209,25 @@ class Lexicon:
                 best = (term, weight, True)
         return best
 
+    def matches(self, words: set[str]) -> dict[str, tuple[str, float, bool]]:
+        """:meth:`match` of those of the words that match, found by whole passes over the words."""
+        some = {w for w in words if w in self.words}
+        for n in self.stem_sizes:
+            some |= {w for w in words if w[:n] in self.stems}
+        rest = [w for w in words - some if len(w) >= FUZZY_FROM - 1]
+        for n in self.head_sizes:
+            some |= {w for w in rest if w[:n] in self.heads}
+        for n in self.tail_sizes:
+            some |= {w for w in rest if w[-n:] in self.tails}
+        for n in self.swapped_sizes:
+            some |= {w for w in rest if w[:n] in self.swapped}
+        for n in self.inner_sizes:
+            for i in range(max(n - 2, 0), n + 2):
+                some |= {w for w in rest if w[i : i + n] in self.inner}
+        if self.trigrams:
+            some |= {w for w in rest if len(w) >= LONG_FROM - 2 and not self.trigrams.isdisjoint([w[i : i + 3] for i in range(len(w) - 2)])}
+        return {w: hit for w in some if (hit := self.match(w))}
+
 
 @dataclass
 class Model:
@@ -221,9 +241,10 @@ class Model:
 
     def __post_init__(self):
         self.memo: dict[str, tuple[str, float, bool] | None] = {}
+        self.older: dict[str, tuple[str, float, bool] | None] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "older": {}}
 
     def hits(self, text: str) -> tuple[list[tuple[int, str, float, bool, bool]], int]:
         """(place among the words, term, weight, inexact, quoted) of each hit in the whole text, and the number of words."""
@@ -232,13 +253,17 @@ class Model:
         for at in self._cuts(low):
             words = _WORD.findall(low, *at)
             n += len(words)
-            fresh = [w for w in set(words) if w not in memo]
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-                fresh = set(words)
-            for w in fresh:
-                memo[w] = self.lexicon.match(w)
-            marked = marked or any(map(memo.__getitem__, words))
+            seen = set(words)
+            if len(memo) > MEMO:
+                self.older, self.memo = memo, {}
+                memo = self.memo
+            fresh = {w for w in seen if w not in memo}
+            known = {w: self.older[w] for w in fresh if w in self.older}
+            fresh.difference_update(known)
+            memo |= known
+            memo |= dict.fromkeys(fresh)
+            memo |= self.lexicon.matches(fresh)
+            marked = marked or any(map(memo.__getitem__, seen))
         if not marked:
             return [], n
         spans = quotations(low)
