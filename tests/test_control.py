@@ -41,15 +41,18 @@ def test_merge():
 
 def test_experiment_and_fingerprint():
     e = config.experiment(TOML)
-    assert (e.seed, e.metrics, e.output_dir) == (7, ("nmi", "ari", "acc"), "outputs/kmeans/cifar10/LAION400M_ViT-B-32/seed_7")
+    assert (e.seed, e.metrics, e.output_dir) == (7, ("nmi", "ari", "acc"), "outputs/kmeans/cifar10/laion400m_vit-b-32/seed_7")
     assert config.trial(e) == config.trial(config.experiment(TOML)) != config.trial(config.experiment(TOML, ["seed=8"]))
     assert config.trial(e) == config.trial(config.experiment(TOML, ["metrics=nmi"]))  # evaluation doesn't change predictions
-    assert "attack-shift-eps8-255-seed7" in config.experiment(TOML, ["attack=shift"]).output_dir
+    assert "attack-shift-anyattack-cos-coco-cos-eps8-255-seed7" in config.experiment(TOML, ["attack=shift"]).output_dir
     assert config.experiment(TOML, ["output_dir=here"]).output_dir == "here"
     assert config.seeded({"seed": 1}, 9) == {"seed": 1, "random_state": 9}
     for bad in (float("nan"), {1, 2}):
         with pytest.raises((ValueError, TypeError)):
-            config.canonical(bad)
+            config.encoded(bad)
+    assert config.trial(e) != config.trial(config.experiment(TOML, ["text_dataset.name=wordnet"])) != config.trial(config.experiment(TOML, ["image_features.model=x"]))
+    value = {"b": [1, 2.5, None, True, "\u00e9"], "a": {"z": (1,), "y": {}}}
+    assert config.encoded(value) == json.dumps(value, sort_keys=True, separators=(",", ":"))
     with pytest.raises(TypeError):
         config.experiment(TOML, ["internal_metrics_only=1"])
     with pytest.raises(ValueError):

@@ -9,7 +9,6 @@ from vecloom.plans import QUERIES, SQL
 
 FOLDER = os.environ.get("VECLOOM_TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"r5_subspace_clusters_elastic", "d8_diffused_clusters", "r3_elastic_net", "c8_spectral", "c7_kmeans_baseline"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the small tables")
 
@@ -42,7 +41,7 @@ def test_equals_sql(spark, duck, name):
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import sum_vector, unit
@@ -76,6 +77,7 @@ def kmeans(vectors: DataFrame, k: int, iterations: int = 300, redo: int = 20, sp
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     out = best.transform(table).select("id", F.col("prediction").alias("cluster"))
+    table.unpersist()  # the assignment is one more pass, made when it is asked for
     return out, np.array(best.clusterCenters())
 
 
@@ -104,12 +106,15 @@ def _flip(v: np.ndarray) -> np.ndarray:
     return v * np.where(np.take_along_axis(v, np.abs(v).argmax(axis=0)[None], 0) < 0, -1, 1)
 
 
-def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int = 60, driver_nodes: int = DRIVER_NODES, seed: int = 0) -> DataFrame:
+def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int = 300, driver_nodes: int = DRIVER_NODES, seed: int = 0, tolerance: float = 1e-3) -> DataFrame:
     """id, x: unit rows of the k leading eigenvectors of D^-1/2 A D^-1/2; a node without edges has the zero vector.
 
-    Small graphs are solved on the driver.  Larger ones go by subspace
-    iteration: a product with the edges is a join and a sum, orthogonalisation
-    needs only the k x k Gram matrix, and each round ends in a checkpoint.
+    Small graphs are solved on the driver.  Larger ones go by subspace iteration
+    with Rayleigh-Ritz steps: a round is one product with the edges (a join and a
+    sum) and two small Gram matrices, and ends in a checkpoint.  It ends when the
+    residuals of the k leading Ritz vectors are below ``tolerance``; a warning
+    says so if they are not after ``rounds``.  The start is a hash of the ids, so
+    it doesn't depend on the partitions.
     """
     spark = nodes.sparkSession
     n = nodes.count()
@@ -127,10 +132,26 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int =
         .join(deg.select(F.col("i").alias("j"), F.col("degree").alias("dj")), "j")
         .select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
     )
-    x = cut_lineage(nodes.select("id", F.array(*(F.randn(seed + c) for c in range(k))).alias("x")))
-    for _ in range(rounds):
-        x = cut_lineage(_orthogonal(_shifted_product(scaled, x), k))
-    return x.select("id", unit("x").alias("x"))
+    wide = min(2 * k + 10, n)  # more columns than asked for: the k leading ones converge faster
+    hashed = F.array(*(F.xxhash64("id", F.lit(seed + c)) / F.lit(2.0**63) for c in range(wide)))
+    linked = deg.select(F.col("i").alias("id"), F.lit(True).alias("linked"))
+    x = cut_lineage(nodes.select("id").join(linked, "id", "left").select("id", F.when(F.col("linked"), hashed).otherwise(F.array_repeat(F.lit(0.0), wide)).alias("x")))
+    gram, _ = _grams(x.withColumn("z", F.col("x")), wide)
+    x = cut_lineage(x.select("id", _turned("x", _inverse_root(gram)).alias("x")))
+    for r in range(rounds):
+        both = cut_lineage(x.join(_shifted_product(scaled, x).withColumnRenamed("x", "z"), "id"))
+        inner, outer = _grams(both, wide)
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        left = np.diag(turn.T @ outer @ turn) - 2 * values * np.diag(turn.T @ inner @ turn) + values**2
+        worst = float(np.sqrt(max(left[:k].max(), 0)))
+        if worst < tolerance or r == rounds - 1:
+            break
+        # The Gram matrix of the turned product is known, so it needs no pass of its own.
+        x = both.select("id", _turned("z", turn @ _inverse_root(turn.T @ outer @ turn)).alias("x"))
+    if worst >= tolerance:
+        warnings.warn(f"the leading eigenvectors have a residual of {worst:.2g} after {rounds} rounds", stacklevel=2)
+    return both.select("id", unit(_turned("x", turn[:, :k])).alias("x"))
 
 
 def _shifted_product(edges: DataFrame, x: DataFrame) -> DataFrame:
@@ -139,13 +160,26 @@ def _shifted_product(edges: DataFrame, x: DataFrame) -> DataFrame:
     return moved.unionByName(x).groupBy("id").agg(sum_vector("x").alias("x"))
 
 
-def _orthogonal(x: DataFrame, k: int) -> DataFrame:
-    """X R^-1 with R from the Cholesky factor of X^T X."""
-    cells = F.array(*(F.col("x")[a] * F.col("x")[b] for a in range(k) for b in range(k)))
-    gram = np.array(x.agg(sum_vector(cells).alias("g")).first().g).reshape(k, k)
-    inverse = np.linalg.inv(np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(k)).T)
-    turned = [sum((F.col("x")[a] * F.lit(float(inverse[a, c])) for a in range(c + 1)), F.lit(0.0)) for c in range(k)]
-    return x.select("id", F.array(*turned).alias("x"))
+def _grams(both: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """X^T Z and Z^T Z of (x, z), summed in batches: one small matrix a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, z = (np.asarray(b.column(c).flatten(), float).reshape(b.num_rows, wide) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([(x.T @ z).ravel(), (z.T @ z).ravel()]).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    got = np.array(both.select("x", "z").mapInArrow(run, "v array<double>").agg(sum_vector("v").alias("v")).first().v)
+    return got[: wide * wide].reshape(wide, wide), got[wide * wide :].reshape(wide, wide)
+
+
+def _inverse_root(gram: np.ndarray) -> np.ndarray:
+    """M with M^T G M = I, from the Cholesky factor of a Gram matrix."""
+    return np.linalg.inv(np.linalg.cholesky(gram + 1e-13 * np.trace(gram) * np.eye(len(gram))).T)
+
+
+def _turned(x: str, by: np.ndarray) -> Column:
+    """The rows of a vector column times a small matrix."""
+    return F.array(*(sum((F.col(x)[a] * F.lit(float(by[a, c])) for a in range(by.shape[0])), F.lit(0.0)) for c in range(by.shape[1])))
 
 
 def spectral_clustering(nodes: DataFrame, edges: DataFrame, k: int, redo: int = 10, seed: int = 42, driver_nodes: int = DRIVER_NODES) -> DataFrame:
@@ -175,6 +209,16 @@ def discretised(embedding: np.ndarray, rounds: int = 100, seed: int = 0) -> np.n
     return label
 
 
+def discretised_rows(embedding: DataFrame, most: int = 32_000_000, seed: int = 0) -> DataFrame:
+    """id, cluster of (id, x) by :func:`discretised`: the n x k matrix goes to the driver, so it is refused beyond ``most`` numbers."""
+    n, k = embedding.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    if n * k > most:
+        raise ValueError(f"{n} rows of {k} numbers are too many to turn on the driver; use k-means on the embedding")
+    rows = embedding.orderBy("id").toPandas()
+    label = discretised(np.array(rows["x"].tolist()), seed=seed)
+    return embedding.sparkSession.createDataFrame([(int(i), int(c)) for i, c in zip(rows["id"], label)], "id long, cluster int")
+
+
 def default_k(labels: DataFrame, explicit: int | None = None) -> int:
     """The explicit number of clusters, else that of the distinct labels."""
     return explicit if explicit is not None else labels.select("label").where("label IS NOT NULL").distinct().count()

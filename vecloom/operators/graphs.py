@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.ordinal import cut_lineage
-from vecloom.operators.neighbors import top_k, without_self
+from vecloom.operators.neighbors import without_self
 
 
 def all_pairs(vectors: DataFrame, guard: int = 50_000) -> DataFrame:
@@ -22,7 +22,22 @@ def all_pairs(vectors: DataFrame, guard: int = 50_000) -> DataFrame:
     n = vectors.count()
     if n > guard:
         raise ValueError(f"a dense graph of {n} rows is refused; use a nearest-neighbour graph")
-    return top_k(vectors, vectors, max(n, 1), "ip", skip_self=True).select("i", "j", F.col("score").alias("s"))
+    side = vectors.select("id", "x").orderBy("id").toPandas()
+    ids, x = side["id"].to_numpy(np.int64), np.array(side["x"].tolist(), float).reshape(n, -1 if n else 0)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows against all rows; nothing is ranked or sorted."""
+        ids, x = shared.value
+        step = max(1, 500_000 // len(ids)) if len(ids) else 1
+        for b in batches:
+            own, y = b.column(0).to_numpy(zero_copy_only=False), np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1)
+            for at in range(0, b.num_rows, step):
+                i, s = own[at : at + step], np.round(y[at : at + step] @ x.T, 10) + 0.0
+                r, c = np.nonzero(i[:, None] != ids[None])
+                yield pa.RecordBatch.from_arrays([pa.array(i[r]), pa.array(ids[c]), pa.array(s[r, c])], names=["i", "j", "s"])
+
+    return vectors.select("id", "x").mapInArrow(run, "i long, j long, s double")
 
 
 def dot_affinity(vectors: DataFrame, guard: int = 50_000) -> DataFrame:
@@ -199,7 +214,6 @@ def sinkhorn(z: DataFrame, eps: float, iterations: int, guard: int = 50_000) ->
             top = tops.max(axis=0)
             lse = top + np.log((np.array([p.total for p in parts]) * np.exp(tops - top)).sum(axis=0))
             v = v + eps * (level - lse)
-            v[v > 9e8] = 0
     rows.unpersist()
     last = spark.sparkContext.broadcast((ids, x, u, v))
 

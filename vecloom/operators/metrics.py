@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +122,47 @@ def _clusters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pred").agg(mean_vector("x").alias("c"), sum_vector("x").alias("s"), F.count(F.lit(1)).alias("m"))
 
 
-def silhouette(rows: DataFrame, metric: str = "cosine", sample: int | None = 5000, seed: int = 42, broadcast_rows: int = 100_000) -> DataFrame:
+def _euclidean_sums(rows: DataFrame, block: int = 4096, most: int = 200_000) -> DataFrame:
+    """id, pred, other, t, m: the sum of the distances of each row to the rows of each cluster, and their number.
+
+    A block of rows meets a block of the others in one matrix product and leaves
+    a number a row and cluster.  The work is the square of the rows by its
+    meaning, so more than ``most`` rows are refused; ask for a sample then.
+    """
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"the Euclidean silhouette of {n} rows is refused; ask for a sample")
+    blocks = max(1, -(-n // block))
+    own = rows.select("id", "pred", "x", F.pmod(F.xxhash64("id"), F.lit(4 * blocks)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    others = rows.select(F.col("pred").alias("other"), "x", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4 * blocks - 1).cast("long"))).alias("a"))
+    kinds = [r.pred for r in rows.select("pred").distinct().collect()]  # a row a cluster
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = {"id": [], "pred": [], "other": [], "t": [], "m": []}
+        if len(p) and len(q):
+            x, y = np.array(p["x"].tolist()), np.array(q["x"].tolist())
+            d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1)[None], 0))
+            # A row's distance to itself is nothing, whatever rounding leaves.
+            d[d < 1e-7] = 0
+            for k in kinds:
+                at = (q["other"] == k).to_numpy()
+                if at.any():
+                    for name, value in (("id", p["id"]), ("pred", p["pred"]), ("other", [k] * len(p)), ("t", d[:, at].sum(axis=1)), ("m", [int(at.sum())] * len(p))):
+                        out[name].extend(value)
+        return pd.DataFrame(out)
+
+    kind = rows.schema["pred"].dataType.simpleString()
+    parts = own.groupBy("a", "b").cogroup(others.groupBy("a", "b")).applyInPandas(meet, f"id {rows.schema['id'].dataType.simpleString()}, pred {kind}, other {kind}, t double, m long")
+    return parts.groupBy("id", "pred", "other").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
+
+
+def silhouette(rows: DataFrame, metric: str = "cosine", sample: int | None = None, seed: int = 42, broadcast_rows: int = 100_000) -> DataFrame:
     """One row: the mean silhouette of unit rows.
 
     Cosine distances to a cluster follow from the sum of its unit vectors, so a
-    row meets k sums and no other row.  The Euclidean form meets all rows of the
-    sample, which bounds it.  A larger table is sampled by a hash of the id.
+    row meets k sums and no other row.  The Euclidean form meets all rows in
+    blocks, in which only sums by cluster are kept.  All rows count, unless a
+    ``sample`` is asked for: the rows of the smallest hashes of their ids.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown silhouette metric {metric!r}")
@@ -139,8 +175,7 @@ def silhouette(rows: DataFrame, metric: str = "cosine", sample: int | None = 500
         side = F.broadcast(sums) if k <= broadcast_rows else sums
         far = rows.crossJoin(side).select("id", "pred", "other", "m", (F.col("m") - dot("x", "s")).alias("t"))  # k rows for each row
     else:
-        other = rows.select(F.col("pred").alias("other"), F.col("x").alias("y"))
-        far = rows.crossJoin(other).groupBy("id", "pred", "other").agg(F.sum(F.sqrt(squared_distance("x", "y"))).alias("t"), F.count(F.lit(1)).alias("m"))
+        far = _euclidean_sums(rows)
     own = F.max(F.when(F.col("pred") == F.col("other"), F.when(F.col("m") > 1, F.col("t") / (F.col("m") - 1)).otherwise(F.lit(-1.0))))
     near = F.min(F.when(F.col("pred") != F.col("other"), F.col("t") / F.col("m")))
     each = far.groupBy("id").agg(own.alias("a"), near.alias("b"))

@@ -256,12 +256,23 @@ def d4_smoothness(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(diffusion.smoothness(t, t),)], "h double").select(r6("h").alias("h"))
 
 
-@query()
+_K4 = f"""{topk_sql('k4', 'u', 'u', 4, True)}, g4 AS (SELECT i, j FROM k4 UNION ALL SELECT j, i FROM k4), w4 AS (SELECT i, j, count(*) / 2.0::DOUBLE AS w FROM g4 GROUP BY ALL),
+h4 AS (SELECT i, greatest(sum(w), 1.0) AS d FROM w4 GROUP BY i), t4 AS (SELECT w4.i, w4.j, w / sqrt(a.d * b.d) AS w FROM w4 JOIN h4 a ON a.i = w4.i JOIN h4 b ON b.i = w4.j)"""
+
+
+def _moved(name: str, by: str) -> str:
+    """CTE ``name`` (h): sum t^2 less the sum of t times B t B^T."""
+    return f"""{name}_m AS (SELECT a.i, b.j, sum(a.w * b.w) AS w FROM {by} a JOIN t b ON a.j = b.i GROUP BY ALL), {name}_t AS (SELECT a.i, b.i AS j, sum(a.w * b.w) AS w FROM {name}_m a JOIN {by} b ON a.j = b.j GROUP BY ALL),
+{name} AS (SELECT (SELECT sum(w * w) FROM t) - (SELECT sum(t.w * m.w) FROM t JOIN {name}_t m USING (i, j)) AS h)"""
+
+
+@query(f"""WITH {BASE},{_T},{_K4}, {_moved('x', 't')}, {_moved('y', 't4')}, b AS (SELECT greatest(least(0.5 + (y.h - x.h) / 20, 1), 0) AS b FROM x, y)
+SELECT 0 AS graph, {out6('b')} AS weight FROM b UNION ALL SELECT 1, {out6('1 - b')} FROM b""")
 def d5_graph_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of two graphs (8 and 4 neighbours) by their smoothness on the first."""
     v = vectors(spark, sf)
     a, b = graphs.cut_lineage(_transition(v)), graphs.cut_lineage(graphs.transition(graphs.knn_connectivity(v, 4)))
-    beta = diffusion.graph_weights([0.5, 0.5], [diffusion.smoothness(a, a), diffusion.smoothness(a, b)], 10.0, 4)
+    beta = diffusion.graph_weights([diffusion.smoothness(a, a), diffusion.smoothness(a, b)], 10.0)
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(beta)], "graph int, weight double").withColumn("weight", r6("weight"))
 
 
@@ -271,7 +282,7 @@ def d8_diffused_clusters(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
     n = retrieval.candidate_nouns(_centres(spark, sf), nouns(spark, sf), 10)
     kernel = graphs.pruned(diffusion.kernel(v, n, 0.5), 8)
-    fused, _ = diffusion.diffuse(v, [graphs.transition(graphs.max_symmetric(kernel)), _transition(v)], outer=1, inner=2)
+    fused, _ = diffusion.diffuse(v, [graphs.transition(graphs.max_symmetric(kernel)), _transition(v)])
     return clustering.spectral_clustering(v, graphs.pruned(fused, 30), 10, redo=2)
 
 
