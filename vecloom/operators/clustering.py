@@ -106,15 +106,15 @@ def _flip(v: np.ndarray) -> np.ndarray:
     return v * np.where(np.take_along_axis(v, np.abs(v).argmax(axis=0)[None], 0) < 0, -1, 1)
 
 
-def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int = 300, driver_nodes: int = DRIVER_NODES, seed: int = 0, tolerance: float = 1e-3) -> DataFrame:
+def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int = 60, driver_nodes: int = DRIVER_NODES, seed: int = 0, tolerance: float = 1e-5, degree: int = 8) -> DataFrame:
     """id, x: unit rows of the k leading eigenvectors of D^-1/2 A D^-1/2; a node without edges has the zero vector.
 
     Small graphs are solved on the driver.  Larger ones go by subspace iteration
-    with Rayleigh-Ritz steps: a round is one product with the edges (a join and a
-    sum) and two small Gram matrices, and ends in a checkpoint.  It ends when the
-    residuals of the k leading Ritz vectors are below ``tolerance``; a warning
-    says so if they are not after ``rounds``.  The start is a hash of the ids, so
-    it doesn't depend on the partitions.
+    with Rayleigh-Ritz steps and a Chebyshev filter: a round is ``degree`` + 1
+    products with the edges (a join and a sum each) and small Gram matrices, and
+    has two checkpoints.  It ends when the residuals of the k leading Ritz vectors
+    are below ``tolerance``; a warning says so if they are not after ``rounds``.
+    The start is a hash of the ids, so it doesn't depend on the partitions.
     """
     spark = nodes.sparkSession
     n = nodes.count()
@@ -132,14 +132,17 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int =
         .join(deg.select(F.col("i").alias("j"), F.col("degree").alias("dj")), "j")
         .select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
     )
-    wide = min(2 * k + 10, n)  # more columns than asked for: the k leading ones converge faster
+    # Each node meets itself once, so that a product reads the vectors in one place only.
+    loops = nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("w"), F.lit(1.0).alias("own"))
+    scaled = cut_lineage(scaled.withColumn("own", F.lit(0.0)).unionByName(loops))
+    wide = min(k + 8, n)  # more columns than asked for: the k leading ones converge faster
     hashed = F.array(*(F.xxhash64("id", F.lit(seed + c)) / F.lit(2.0**63) for c in range(wide)))
     linked = deg.select(F.col("i").alias("id"), F.lit(True).alias("linked"))
     x = cut_lineage(nodes.select("id").join(linked, "id", "left").select("id", F.when(F.col("linked"), hashed).otherwise(F.array_repeat(F.lit(0.0), wide)).alias("x")))
-    gram, _ = _grams(x.withColumn("z", F.col("x")), wide)
-    x = cut_lineage(x.select("id", _turned("x", _inverse_root(gram)).alias("x")))
     for r in range(rounds):
-        both = cut_lineage(x.join(_shifted_product(scaled, x).withColumnRenamed("x", "z"), "id"))
+        gram, _ = _grams(x.withColumn("z", F.col("x")), wide)
+        x = x.select("id", _turned("x", _inverse_root(gram)).alias("x"))
+        both = cut_lineage(_product(scaled, x.withColumn("old", F.col("x")), 1.0, 0.0, 0.0).select("id", F.col("old").alias("x"), F.col("x").alias("z")))
         inner, outer = _grams(both, wide)
         values, turn = np.linalg.eigh((inner + inner.T) / 2)
         values, turn = values[::-1], turn[:, ::-1]
@@ -147,17 +150,24 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, k: int, rounds: int =
         worst = float(np.sqrt(max(left[:k].max(), 0)))
         if worst < tolerance or r == rounds - 1:
             break
-        # The Gram matrix of the turned product is known, so it needs no pass of its own.
-        x = both.select("id", _turned("z", turn @ _inverse_root(turn.T @ outer @ turn)).alias("x"))
+        # The filter damps all eigenvalues from -1 to the least Ritz value and lifts those above.
+        middle, half = (values[-1] - 1) / 2, (values[-1] + 1) / 2 + 1e-6
+        first = F.zip_with("z", "x", lambda z, x: (z - x * F.lit(float(middle))) / F.lit(float(half)))
+        x = both.select("id", F.col("x").alias("old"), first.alias("x")).select("id", _turned("old", turn).alias("old"), _turned("x", turn).alias("x"))
+        for _ in range(degree - 1):
+            x = _product(scaled, x, 2 / half, middle, 1.0)
+        x = cut_lineage(x.select("id", "x"))
     if worst >= tolerance:
         warnings.warn(f"the leading eigenvectors have a residual of {worst:.2g} after {rounds} rounds", stacklevel=2)
     return both.select("id", unit(_turned("x", turn[:, :k])).alias("x"))
 
 
-def _shifted_product(edges: DataFrame, x: DataFrame) -> DataFrame:
-    """(W + I) X; the shift makes the largest eigenvalues those of largest magnitude."""
-    moved = edges.join(x.select(F.col("id").alias("j"), "x"), "j").select(F.col("i").alias("id"), F.transform("x", lambda e: e * F.col("w")).alias("x"))
-    return moved.unionByName(x).groupBy("id").agg(sum_vector("x").alias("x"))
+def _product(edges: DataFrame, x: DataFrame, times: float, middle: float, less: float) -> DataFrame:
+    """id, x, old: ``times`` (W - middle I) x - ``less`` old, and the present x as old."""
+    own, w = F.col("own"), F.col("w")
+    fresh = F.zip_with("x", "old", lambda a, b: a * (w - own * F.lit(float(middle))) * F.lit(float(times)) - b * own * F.lit(float(less)))
+    met = edges.join(x.withColumnRenamed("id", "j"), "j").select(F.col("i").alias("id"), fresh.alias("x"), F.transform("x", lambda a: a * own).alias("old"))
+    return met.groupBy("id").agg(sum_vector("x").alias("x"), sum_vector("old").alias("old"))
 
 
 def _grams(both: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,8 +183,10 @@ def _grams(both: DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _inverse_root(gram: np.ndarray) -> np.ndarray:
-    """M with M^T G M = I, from the Cholesky factor of a Gram matrix."""
-    return np.linalg.inv(np.linalg.cholesky(gram + 1e-13 * np.trace(gram) * np.eye(len(gram))).T)
+    """M with M^T G M = I, from the Cholesky factor of a Gram matrix whose columns are scaled first."""
+    size = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    scaled = gram / np.outer(size, size)
+    return np.linalg.inv(np.linalg.cholesky(scaled + 1e-12 * np.eye(len(gram))).T) / size[:, None]
 
 
 def _turned(x: str, by: np.ndarray) -> Column:
