@@ -37,8 +37,8 @@ def test_planted_templates_are_found():
     for name, template in licenses.TEMPLATES.items():
         words = licenses.words_of(template)
         for edits in (0, len(words) // 10):
-            edited = list(words)
-            for k in rng.sample(range(len(edited)), edits):
+            edited, telling = list(words), scanner.needed[name]
+            for k in rng.sample([k for k, w in enumerate(edited) if w not in telling], edits):
                 edited[k] = "zzz"
             before, after = ([rng.choice(filler) for _ in range(rng.randrange(0, 400))] for _ in range(2))
             got = [m for m in scanner.find(" ".join(before + edited + after)) if m[0] == name]
@@ -56,6 +56,55 @@ def test_repeats_and_other_texts():
     assert scanner.find(None) == scanner.find("") == []
 
 
+def test_lookalikes_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda text: {m[0] for m in scanner.find(text)}
+    assert found("Licensed under CC BY 4.0.") == {"CC-BY-4.0/line"}
+    assert found("Licensed under CC BY-ND 4.0.") == set() == found("Licensed under CC BY-NC 3.0.")
+    assert found("Released under the Apache License") == set() == found("Released under the BSD License.")
+    assert found("Licensed under the Apache License, Version 1.1.") == set()
+    assert found("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0/line"}
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == set()
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
+        assert found(licenses.TEMPLATES[f"{name}/notice"]) == {f"{name}/notice"}
+    for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"):
+        assert found(licenses.TEMPLATES[f"{name}/notice"]) == {f"{name}/notice"}
+
+
+def slow_find(scanner, words):
+    """Every template by alignments from every place; of those that overlap the best."""
+    out = []
+    for name, template in scanner.words.items():
+        m, hits = len(template), []
+        missing = int(m * (1 - scanner.coverage) + 1e-9)
+        for i in range(len(words)):
+            for length in (m + missing, 2 * m):
+                pairs = licenses.patience(words[i : i + length], template)
+                if len(pairs) >= m * scanner.coverage and scanner._tells(name, words, i, pairs):
+                    hits.append((-len(pairs) / m, pairs[-1][0] - pairs[0][0], i + pairs[0][0], i + pairs[-1][0]))
+        if hits:
+            out.append((name, min(hits)[0]))
+    return sorted(out)
+
+
+def test_candidate_windows_lose_nothing():
+    """Short texts against alignments from every place: the same templates, at the same best coverage."""
+    rng, scanner = random.Random(12), licenses.Scanner({k: v for k, v in licenses.TEMPLATES.items() if len(v) < 200})
+    names = sorted(scanner.templates)
+    for _ in range(60):
+        words = [rng.choice("the of this and license under work".split()) for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(1, 3)):
+            part = list(scanner.words[rng.choice(names)])
+            for _ in range(rng.randrange(3)):
+                part[rng.randrange(len(part))] = rng.choice(["zzz", "the", "under"])
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part
+        best = {}
+        for name, _, _, coverage in scanner._find(words):
+            best[name] = max(best.get(name, 0), coverage)
+        assert sorted((n, -c) for n, c in best.items()) == slow_find(scanner, words)
+
+
 def test_long_text(monkeypatch):
     scanner = licenses.Scanner(licenses.TEMPLATES)
     text = ("lorem ipsum " * 40 + licenses.TEMPLATES["MIT/grant"] + " x " + licenses.TEMPLATES["GPL-3.0/line"] + " ") * 9

@@ -29,6 +29,10 @@ _LONG = 4_000_000
 _BLOCK = 500_000
 
 # Notices and grants as their publishers word them (public texts).
+_GNU = (
+    "This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+    "the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
 TEMPLATES = {
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/notice": (
@@ -44,18 +48,49 @@ TEMPLATES = {
         "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
-    "GPL-3.0/line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0/notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    "BSL-1.0/grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"
     ),
-    "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "ISC/grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "Zlib/grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."
+    ),
     "BSD/grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause/clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "Unlicense/grant": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-3.0/line": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0/line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0/notice": _GNU.format(thing="program", name="General Public License", version="3"),
+    "GPL-2.0/notice": _GNU.format(thing="program", name="General Public License", version="2"),
+    "LGPL-3.0/notice": _GNU.format(thing="library", name="Lesser General Public License", version="3"),
+    "LGPL-2.1/notice": _GNU.format(thing="library", name="Lesser General Public License", version="2.1"),
+    "AGPL-3.0/notice": _GNU.format(thing="program", name="Affero General Public License", version="3"),
+    "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0/line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0/line": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+#: Words that tell a license from its likes: a match needs all of the first, aligned, and none of the second within it.
+TELLING = {
+    "Apache-2.0/line": ("apache 2.0", ""), "Apache-2.0/notice": ("apache 2.0", ""), "MIT/line": ("mit", ""), "BSL-1.0/grant": ("organization", ""), "MPL-2.0/notice": ("mozilla 2.0", ""),
+    "GPL-3.0/line": ("general 3", "lesser library affero 2"), "GPL-2.0/line": ("general 2", "lesser library affero 3"),
+    "GPL-3.0/notice": ("general 3", "lesser affero 2 2.1"), "GPL-2.0/notice": ("general 2", "lesser affero 3 2.1"),
+    "LGPL-3.0/notice": ("lesser 3", "2.1 2"), "LGPL-2.1/notice": ("lesser 2.1", "3"), "AGPL-3.0/notice": ("affero 3", ""),
+    "CC-BY-NC-4.0/line": ("by-nc 4.0", ""), "CC-BY-SA-4.0/line": ("by-sa 4.0", ""), "CC-BY-4.0/line": ("cc by 4.0", ""),
+    "CC-BY-4.0/notice": ("attribution 4.0", ""), "CC-BY-SA-4.0/notice": ("attribution-sharealike 4.0", ""), "CC-BY-NC-4.0/notice": ("attribution-noncommercial 4.0", ""),
 }
 
 
@@ -111,8 +146,12 @@ class Scanner:
 
     templates: dict[str, str]
     coverage: float = COVERAGE
+    telling: dict[str, tuple[str, str]] | None = None
 
     def __post_init__(self):
+        telling = TELLING if self.telling is None else self.telling
+        self.needed = {k: set(telling.get(k, ("", ""))[0].split()) for k in self.templates}
+        self.barred = {k: set(telling.get(k, ("", ""))[1].split()) for k in self.templates}
         self.words = {k: words_of(v) for k, v in self.templates.items()}
         self.words = {k: v for k, v in self.words.items() if v}
         self.sets = {k: set(v) for k, v in self.words.items()}
@@ -149,7 +188,7 @@ class Scanner:
         for name, template in self.words.items():
             m, own = len(template), self.sets[name]
             missing = int(m * (1 - self.coverage) + 1e-9)
-            if len(known & own) < len(own) - missing:
+            if len(known & own) < len(own) - missing or not self.needed[name] <= known:
                 continue
             # Stretches in which each word belongs to a window of 2 m words that holds enough of the template's.
             places, at, spans = [i for i, w in enumerate(words) if w in own], 0, []
@@ -165,6 +204,12 @@ class Scanner:
                 out += self._align(name, words, first, last, missing)
         return out
 
+    def _tells(self, name: str, words: list[str], i: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words that tell the license apart are aligned, and those of its likes are not within the match."""
+        if not self.needed[name] <= {self.words[name][b] for _, b in pairs}:
+            return False
+        return self.barred[name].isdisjoint(words[i + pairs[0][0] : i + pairs[-1][0] + 1])
+
     def _align(self, name: str, words: list[str], first: int, last: int, missing: int) -> list[tuple[str, int, int, float]]:
         """Matches within a stretch of text; of those that overlap, the one of most coverage, then the shortest, then the first."""
         template, out = self.words[name], []
@@ -174,7 +219,7 @@ class Scanner:
             found = []
             for length in (m + missing, 2 * m):
                 pairs = patience(words[i : min(i + length, last + 1)], template)
-                if len(pairs) >= m * self.coverage:
+                if len(pairs) >= m * self.coverage and self._tells(name, words, i, pairs):
                     found.append((-len(pairs) / m, pairs[-1][0] - pairs[0][0], i + pairs[0][0], i + pairs[-1][0]))
             return min(found, default=None)
 
@@ -194,7 +239,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     ``matches`` is an array of (name, first_word, last_word, coverage) in the
     order of the text, ``licenses`` the distinct names in order.  Both are empty
-    for null and empty texts and for texts without a match.
+    for null and empty texts and for texts without a match.  Of matches of one
+    template that overlap, that of most coverage counts, then the shortest, then
+    the first; very long texts are read whole.  Repeated rows get equal answers;
+    other columns are not read, whatever their names.  An empty table gives an
+    empty result.  Templates of one's own have no telling words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, coverage))
     rows = pick(docs, id=id_col, text=text_col)
