@@ -130,7 +130,7 @@ def test_views(table):
         features.random_view(rows, 4, "other")
 
 
-@pytest.mark.parametrize("method", ["tac", "tac_trained", "gradnorm", "seic", "magic"])
+@pytest.mark.parametrize("method", ["tac", "tac_trained", "gradnorm", "seic", "magic", "sic"])
 def test_language_methods_find_planted_clusters(table, planted, method):
     from vecloom import pipelines
 
@@ -142,6 +142,50 @@ def test_language_methods_find_planted_clusters(table, planted, method):
         pipelines.run(method, table(x), 4)
 
 
+def test_several_heads_and_the_best_of_them(table, planted):
+    from vecloom import pipelines
+
+    x, truth = planted
+    heads = pipelines.scan_heads(table(x), 4, heads=3, near=8, rounds=10)
+    assert len(heads) == 3 and [h[0] for h in heads] == sorted(h[0] for h in heads)
+    got = pipelines.scan_predictions(table(x), 4, heads=3, near=8, rounds=10).collect()
+    main = {r.id: r.cluster for r in got if r.head == "main"}
+    assert {r.head for r in got} == {"main", "head_1", "head_2"} and same_clusters(main, truth)
+    assert {r.id: r.cluster for r in pipelines.run("scan", table(x), 4, heads=3, neighbours=8, rounds=10).collect()} == main
+
+
+def test_gradient_of_one_head(spark):
+    rng = np.random.default_rng(13)
+    x, y, k = rng.normal(size=(25, 3)), rng.normal(size=(25, 3)), 4
+    pairs = spark.createDataFrame([(list(map(float, a)), list(map(float, b))) for a, b in zip(x, y)], "x array<double>, y array<double>")
+    start = (rng.normal(size=(k, 3)), rng.normal(size=k))
+
+    def loss(w, b):
+        p, q = losses._softmax(x @ w.T + b), losses._softmax(y @ w.T + b)
+        m = p.mean(axis=0)
+        return -np.log((p * q).sum(axis=1)).mean() + 2 * (m * np.log(m)).sum()
+
+    w, b, found = losses.fit_scan_head(pairs, start, 1, 1.0, 2.0)
+    assert found == [pytest.approx(loss(*start))]
+    for at in np.ndindex(k, 3):
+        e = np.zeros((k, 3))
+        e[at] = 1e-6
+        assert (loss(start[0] + e, start[1]) - loss(start[0] - e, start[1])) / 2e-6 == pytest.approx((start[0] - w)[at], abs=1e-6)
+
+
+def test_negative_answers_push_away(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(12, 3))
+    make = lambda rows, c: spark.createDataFrame([(list(map(float, v)), int(k)) for v, k in zip(rows, c)], "x array<double>, cluster int")
+    yes, no = make(x[:8], np.arange(8) % 3), make(x[8:], [0, 1, 2, 0])
+    start = (rng.normal(size=(3, 3)), rng.normal(size=3))
+    p = losses._softmax(x @ start[0].T + start[1])
+    counts = np.bincount(np.arange(8) % 3)
+    want = -np.log(p[np.arange(8), np.arange(8) % 3]) @ (1 / counts[np.arange(8) % 3] / 3) - np.log(1 - p[np.arange(8, 12), [0, 1, 2, 0]]).mean()
+    w, b, found = losses.fit_labelled_head(yes, start, 3, 0.1, 0.0, negatives=no)
+    assert found[0] == pytest.approx(want) and found[2] < found[1] < found[0]
+
+
 def test_subspace_iteration_equals_the_dense_solver(table, planted):
     x, _ = planted
     rows = table(x)
@@ -342,6 +386,10 @@ def test_interactive_clusters(spark, planted):
     x, truth = planted
     rows = spark.createDataFrame([(i, [float(e) for e in v], int(c)) for i, (v, c) in enumerate(zip(x, truth))], "id long, x array<double>, label int")
     got = {r.id: r.cluster for r in pipelines.interactive(rows, 4, 12, 5, 2, 1, redo=3, rounds=8).collect()}
+    by_name = pipelines.run("idc", rows, 4, budget=12, neighbours=5, candidates=2, updates=1, redo=3, rounds=8, random_state=1)
+    assert {r.id: r.cluster for r in by_name.collect()} == got
+    with pytest.raises(ValueError):
+        pipelines.run("idc", rows.drop("label"), 4)
     assert same_clusters(got, truth)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import resource
 import sys
 import time
 from pathlib import Path
@@ -38,11 +39,15 @@ def run(config: str, items: list[str], data: str, dry: bool) -> dict:
     files.write_predictions(found.select("id", F.lit("main").alias("head"), "cluster"), f"{out}/predictions")
     met = rows.join(found.withColumnRenamed("cluster", "pred"), "id")
     table = metrics.evaluate_internal(met, sample=e.silhouette_sample_size, metric=e.silhouette_metric) if e.internal_metrics_only else metrics.evaluate(met.select("label", "pred"), e.metrics)
+    # Of this process, the driver: executors report their own to the cluster.
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
     report = plan | {"metrics": {r.metric: r.value for r in table.collect()}}
     if c.keeps_checkpoints(e.image_dataset.name):
-        report["seconds"] = round(time.time() - began, 3)
+        report |= {"seconds": round(time.time() - began, 3), "driver_peak_mb": round(peak, 1)}
     Path(out).mkdir(parents=True, exist_ok=True)
-    Path(out, "report.json").write_text(json.dumps(report, indent=2, sort_keys=True))
+    # Renamed into place, so that no reader sees half a report.
+    Path(out, "report.json.part").write_text(json.dumps(report, indent=2, sort_keys=True))
+    Path(out, "report.json.part").replace(Path(out, "report.json"))
     return report
 
 

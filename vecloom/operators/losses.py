@@ -158,8 +158,9 @@ def linear_head(centres: np.ndarray, alpha: float = 0.05) -> tuple[np.ndarray, n
 def fit_scan_head(pairs: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds: int = 50, rate: float = 0.5, entropy_weight: float = 2.0) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Gradient descent of the neighbour-consistency loss over pairs (x, y) of row and neighbour vectors.
 
-    A round is one pass: each Arrow batch sums its own gradients, and one small
-    matrix a batch is added up.  Returns weights, bias and the loss by round.
+    A round is two passes over Arrow batches: the first sums the means that the
+    entropy needs, the second the gradients under them; both bring k by d numbers
+    a batch at most.  Returns weights, bias and the loss by round.
     """
     from collections.abc import Iterator
 
@@ -168,34 +169,32 @@ def fit_scan_head(pairs: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds
     w, b = (np.array(p, float) for p in start)
     spark, n, losses = pairs.sparkSession, pairs.count(), []
     pairs = pairs.select("x", "y").persist()
-    k, d = w.shape
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((w, b))
 
-        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w, b = shared.value
+    def summed(slope: np.ndarray | None) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((w, b, slope))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, b, slope = shared.value
             for batch in batches:
                 x, y = (np.asarray(batch.column(c).flatten(), float).reshape(batch.num_rows, -1) for c in (0, 1))
                 p, q = _softmax(x @ w.T + b), _softmax(y @ w.T + b)
-                s = np.maximum((p * q).sum(axis=1, keepdims=True), 1e-12)
-                # d(-ln s): through both sides; the entropy needs the mean first, so its parts are returned too.
-                gp, gq = -q / s, -p / s
-                zp, zq = p * (gp - (p * gp).sum(axis=1, keepdims=True)), q * (gq - (q * gq).sum(axis=1, keepdims=True))
-                mixed = np.einsum("ni,nj,nd->ijd", p, p, np.column_stack([x, np.ones(len(x))]))  # for the entropy's gradient
-                direct = p.T @ np.column_stack([x, np.ones(len(x))])
-                parts = [zp.T @ x + zq.T @ y, (zp + zq).sum(axis=0), [-np.log(s).sum()], p.sum(axis=0), direct, mixed]
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.ravel(v) for v in parts]).tolist()], pa.list_(pa.float64()))], names=["v"])
-
-        got = np.array(pairs.mapInArrow(sums, "v array<double>").agg(sum_vector("v").alias("v")).first().v)
-        cut = np.cumsum([k * d, k, 1, k, k * (d + 1)])
-        gw, gb, consistency, mass, direct, mixed = np.split(got, cut)
-        mean = np.maximum(mass / n, 1e-8)
-        direct, mixed = direct.reshape(k, d + 1), mixed.reshape(k, k, d + 1)
-        slope = -(np.log(mean) + 1)  # d entropy / d mean
-        h = slope[:, None] * direct - np.einsum("j,ijd->id", slope, mixed)
-        losses.append(float(consistency[0] / n - entropy_weight * entropy(mass / n, 1e-8)))
-        w = w - rate * (gw.reshape(k, d) / n - entropy_weight * h[:, :d] / n)
-        b = b - rate * (gb / n - entropy_weight * h[:, d] / n)
+                agree = np.maximum((p * q).sum(axis=1, keepdims=True), 1e-12)
+                if slope is None:
+                    out = [p.sum(axis=0), [-np.log(agree).sum()]]
+                else:
+                    dp, dq = slope - q / agree, -p / agree
+                    ep, eq = p * (dp - (p * dp).sum(axis=1, keepdims=True)), q * (dq - (q * dq).sum(axis=1, keepdims=True))
+                    out = [(ep.T @ x + eq.T @ y).ravel(), (ep + eq).sum(axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(out).tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        return np.array(pairs.mapInArrow(run, "v array<double>").agg(sum_vector("v").alias("v")).first().v)
+
+    for _ in range(rounds):
+        got = summed(None)
+        mean = np.maximum(got[:-1] / n, 1e-8)
+        losses.append(float(got[-1] / n - entropy_weight * entropy(got[:-1] / n, 1e-9)))
+        step = summed(entropy_weight * (np.log(mean) + 1)) / n
+        w, b = w - rate * step[: w.size].reshape(w.shape), b - rate * step[w.size :]
     pairs.unpersist()
     return w, b, losses
 
@@ -269,18 +268,27 @@ def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0,
     return tuple(heads), found
 
 
-def fit_labelled_head(rows: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds: int = 30, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def fit_labelled_head(
+    rows: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds: int = 30, rate: float = 1.0, decay: float = 1e-4, negatives: DataFrame | None = None, negative_weight: float = 1.0
+) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """A linear head by cross-entropy over (x, cluster), classes weighed by their rarity; a round is one pass.
 
+    ``negatives`` are (x, cluster) that are known not to belong together: each
+    adds -ln(1 - p) of its cluster, all of them ``negative_weight`` together.
+
     Returns weights, bias and the loss by round.
     """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
-    rows = rows.select("x", "cluster").persist()
+    rows = rows.select("x", "cluster", F.lit(True).alias("yes"))
+    against = negatives.count() if negatives is not None else 0
+    if against:
+        rows = rows.unionByName(negatives.select("x", "cluster", F.lit(False).alias("yes")))
+    rows = rows.persist()
     w, b = (np.array(p, float) for p in start)
-    counts = {r.cluster: r["count"] for r in rows.groupBy("cluster").count().collect()}  # a row a cluster
+    counts = {r.cluster: r["count"] for r in rows.where("yes").groupBy("cluster").count().collect()}  # a row a cluster
     weight = np.array([1 / counts[c] if counts.get(c) else 0.0 for c in range(len(b))]) / max(len(counts), 1)
     spark, found = rows.sparkSession, []
     for _ in range(rounds):
@@ -291,9 +299,14 @@ def fit_labelled_head(rows: DataFrame, start: tuple[np.ndarray, np.ndarray], rou
             for batch in batches:
                 x = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, -1)
                 y = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
-                p, own = _softmax(x @ w.T + b), weight[y][:, None]
-                loss = -(own[:, 0] * np.log(np.maximum(p[np.arange(len(y)), y], 1e-12))).sum()
-                p[np.arange(len(y)), y] -= 1
+                yes = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                p, at = _softmax(x @ w.T + b), np.arange(len(y))
+                mine = p[at, y]
+                other = np.maximum(1 - mine, 1e-6)
+                own = np.where(yes, weight[y], negative_weight / max(against, 1) * mine / other)[:, None]
+                loss = -(np.where(yes, weight[y], 0) * np.log(np.maximum(mine, 1e-12))).sum() - negative_weight / max(against, 1) * np.log(other[~yes]).sum()
+                p[at, y] -= 1
+                p[~yes] *= -1  # away from the cluster
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([((own * p).T @ x).ravel(), (own * p).sum(axis=0), [loss]]).tolist()], pa.list_(pa.float64()))], names=["v"])
 
         row = rows.mapInArrow(sums, "v array<double>").agg(sum_vector("v").alias("v")).first()

@@ -55,7 +55,7 @@ def greedy(rows: DataFrame, values: DataFrame, budget: int, most: int = 200_000)
 
 
 def feedback(chosen: DataFrame, rows: DataFrame, centres: DataFrame, t: int) -> DataFrame:
-    """id, cluster (the one its label is matched with), positive: whether it is among the t nearest centres.
+    """id, cluster (the one its label is matched with), positive: whether it is among the t nearest centres, ruled_out: these centres if it is not.
 
     ``rows`` are (id, x, label, pred); labels without a matched cluster map to 0.
     """
@@ -63,8 +63,9 @@ def feedback(chosen: DataFrame, rows: DataFrame, centres: DataFrame, t: int) ->
     of_label = {v: k for k, v in matching(rows).items()}
     pairs = spark.createDataFrame([(int(a), int(b)) for a, b in sorted(of_label.items())], "label long, cluster long")
     own = chosen.select("id").join(rows, "id").join(F.broadcast(pairs), "label", "left").select("id", "x", F.coalesce("cluster", F.lit(0)).alias("cluster"))
-    near = top_k(own, centres.select(F.col("cluster").cast("long").alias("id"), "x"), t).groupBy(F.col("i").alias("id")).agg(F.collect_set("j").alias("near"))
-    return own.join(near, "id").select("id", "cluster", F.array_contains("near", F.col("cluster")).alias("positive"))
+    near = top_k(own, centres.select(F.col("cluster").cast("long").alias("id"), "x"), t).groupBy(F.col("i").alias("id")).agg(F.sort_array(F.collect_set(F.col("j").cast("int"))).alias("near"))
+    hit = F.array_contains("near", F.col("cluster").cast("int"))
+    return own.join(near, "id").select("id", "cluster", hit.alias("positive"), F.when(hit, F.array().cast("array<int>")).otherwise(F.col("near")).alias("ruled_out"))
 
 
 def pseudo_labels(predicted: DataFrame, k: int, share: float, enter: float, leave: float) -> DataFrame:

@@ -200,6 +200,22 @@ def i6_interactive_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return pipelines.interactive(vectors(spark, sf), 10, 40, 10, 3, 1, redo=1, iterations=20, rounds=5)
 
 
+@query()
+def h4_scan_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Three linear heads over neighbours; the one of the least loss is the main one."""
+    from vecloom import pipelines
+
+    return pipelines.scan_predictions(vectors(spark, sf), 10, heads=2, rounds=5)
+
+
+@query()
+def h5_semantic_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """A linear head on pseudo-labels of adjusted text centres."""
+    from vecloom import pipelines
+
+    return pipelines.run("sic", vectors(spark, sf), 10, nouns(spark, sf), redo=1, iterations=20, rounds=5, updates=2)
+
+
 _CONF = f"{_C}, sc AS (SELECT u.id, u.label, list(list_dot_product(u.x, c.x) ORDER BY c.label) AS s FROM u, c GROUP BY u.id, u.label), pr AS (SELECT id, label, list_transform(s, lambda v: exp(10 * v)) AS e FROM sc), cf AS (SELECT id, (CASE WHEN id % 3 = 0 THEN label ELSE -1 END)::INTEGER AS label, (list_position(e, list_max(e)) - 1)::INTEGER AS pred, list_max(e) / list_sum(e) AS confidence FROM pr)"
 
 
