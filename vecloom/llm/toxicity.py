@@ -118,6 +118,11 @@ class Levenshtein:
         return bool(state[0] or state[1] or state[2])
 
 
+def _shortened(word: str) -> set[str]:
+    """The word without one of its letters."""
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
 def _put(trie: dict, term: str, what: tuple[str, float, bool]) -> None:
     for c in term:
         trie = trie.setdefault(c, {})
@@ -135,33 +140,37 @@ class Lexicon:
     def __post_init__(self):
         #: Terms that take one edit, and long words that take two.
         self.trie, self.long = {}, {}
-        self.heads, self.tails, self.swapped, self.inner, self.trigrams = set(), set(), set(), set(), set()
+        self.heads, self.swapped, self.inner, self.trigrams, self.shorter = set(), set(), set(), set(), set()
         every = [(w, w, v, False) for w, v in [*self.words.items(), *self.near.items()]] + [(s, s + "-", v, True) for s, v in self.stems.items()]
         for term, name, weight, stem in every:
             if len(term) < FUZZY_FROM:
                 continue
             _put(self.trie, term, (name, weight, stem))
-            # A word within one edit of a term shares its first or its last half, or has the two letters in the middle swapped.
-            h = len(term) // 2
-            self.heads.add(term[:h])
-            (self.inner if stem else self.tails).add(term[h:])
-            self.swapped.add(term[: h - 1] + term[h] + term[h - 1] + term[h + 1 :])
+            if stem:
+                # A beginning of the word within one edit of a stem shares its first or its last half, or has the two letters in the middle swapped.
+                h = len(term) // 2
+                self.heads.add(term[:h])
+                self.inner.add(term[h:])
+                self.swapped.add(term[: h - 1] + term[h] + term[h - 1] + term[h + 1 :])
+            else:
+                # Two words one edit apart are equal once each has lost one letter at most.
+                self.shorter |= {term} | _shortened(term)
             if not stem and len(term) >= LONG_FROM:
                 # Two edits destroy eight trigrams at most; a long word has nine.
                 _put(self.long, term, (name, weight, False))
                 self.trigrams |= {term[i : i + 3] for i in range(len(term) - 2)}
         sizes = lambda x: sorted(set(map(len, x)))
-        self.head_sizes, self.tail_sizes, self.inner_sizes, self.swapped_sizes = sizes(self.heads), sizes(self.tails), sizes(self.inner), sizes(self.swapped)
+        self.head_sizes, self.inner_sizes, self.swapped_sizes = sizes(self.heads), sizes(self.inner), sizes(self.swapped)
+        self.longest = max(map(len, self.shorter), default=-1) + 1
         self.stem_sizes = sizes(self.stems)
 
     def _may(self, word: str) -> bool:
         """Whether the word may be one edit from a term."""
+        if len(word) <= self.longest and (word in self.shorter or not self.shorter.isdisjoint(_shortened(word))):
+            return True
         for n in self.head_sizes:
             if word[:n] in self.heads:
                 return True
-        for n in self.tail_sizes:
-            if word[-n:] in self.tails:
-                return True
         for n in self.swapped_sizes:
             if word[:n] in self.swapped:
                 return True
@@ -217,8 +226,10 @@ class Lexicon:
         rest = [w for w in words - some if len(w) >= FUZZY_FROM - 1]
         for n in self.head_sizes:
             some |= {w for w in rest if w[:n] in self.heads}
-        for n in self.tail_sizes:
-            some |= {w for w in rest if w[-n:] in self.tails}
+        like = [w for w in rest if len(w) <= self.longest]
+        some |= {w for w in like if w in self.shorter}
+        for i in range(self.longest):
+            some |= {w for w in like if w[:i] + w[i + 1 :] in self.shorter}
         for n in self.swapped_sizes:
             some |= {w for w in rest if w[:n] in self.swapped}
         for n in self.inner_sizes:
@@ -249,10 +260,9 @@ class Model:
     def hits(self, text: str) -> tuple[list[tuple[int, str, float, bool, bool]], int]:
         """(place among the words, term, weight, inexact, quoted) of each hit in the whole text, and the number of words."""
         memo, low = self.memo, text.lower()
-        n, marked = 0, False
+        n, found = 0, []
         for at in self._cuts(low):
             words = _WORD.findall(low, *at)
-            n += len(words)
             seen = set(words)
             if len(memo) > MEMO:
                 self.older, self.memo = memo, {}
@@ -263,18 +273,23 @@ class Model:
             memo |= known
             memo |= dict.fromkeys(fresh)
             memo |= self.lexicon.matches(fresh)
-            marked = marked or any(map(memo.__getitem__, seen))
-        if not marked:
-            return [], n
-        spans = quotations(low)
-        out, s = [], 0
+            hot = {w: hit for w in seen if (hit := memo[w])}
+            if hot:
+                found += [(n + i, *hot[w]) for i, w in enumerate(words) if w in hot]
+            n += len(words)
+        spans = quotations(low) if found else []
+        if not spans:
+            return [(*hit, False) for hit in found], n
+        # Where the hits are in the text matters only next to quotations.
+        out, s, h = [], 0, 0
         for place, m in enumerate(_WORD.finditer(low)):
-            w = m.group()
-            hit = memo[w] if w in memo else self.lexicon.match(w)
-            if hit:
+            if place == found[h][0]:
                 while s < len(spans) and spans[s][1] <= m.start():
                     s += 1
-                out.append((place, *hit, s < len(spans) and spans[s][0] <= m.start()))
+                out.append((*found[h], s < len(spans) and spans[s][0] <= m.start()))
+                h += 1
+                if h == len(found):
+                    break
         return out, n
 
     @staticmethod
