@@ -196,10 +196,10 @@ def check_shards(rows, got, k=8):
     assert set(slots) <= set(range(k))
 
 
-@pytest.mark.parametrize(("chunk", "fan"), [(8192, 2048), (10, 2), (25, 4)])
-def test_shards(docs, chunk, fan):
+@pytest.mark.parametrize(("chunk", "heavy"), [(8192, 4096), (10, 4096), (10, 20), (8192, 1)])
+def test_shards(docs, chunk, heavy):
     rows = random_docs(4, 300)
-    got = sharding.shard(docs(rows), shards=4, chunk=chunk, fan=fan, rows_per_bucket=10).collect()
+    got = sharding.shard(docs(rows), shards=4, chunk=chunk, heavy=heavy, rows_per_bucket=10).collect()
     check_shards(rows, got, 4)
     texts, home = {i: t for i, t, _ in rows}, {}
     for r in got:
@@ -215,10 +215,10 @@ def test_odd_tables_in_shards(docs):
     check_shards(same, sharding.shard(docs(same), rows_per_bucket=2).collect())
 
 
-def test_one_chunk_is_plain_differencing(docs):
+def test_few_groups_are_plain_differencing(docs):
     rows = [(i, "y" * (17 * i % 301) + str(i)) for i in range(400)]
     part, sums = sharding.difference([(hashlib.sha256(t.encode()).digest(), len(t) + 1) for _, t in rows], 8)
-    got = sharding.shard(docs(rows)).collect()
+    got = sharding.shard(docs(rows), heavy=10**6).collect()  # all groups are large then
     texts = dict(rows)
     assert all(part[hashlib.sha256(texts[r.doc_id].encode()).digest()] == r.shard for r in got)
     assert max(sums) - min(sums) <= 1
@@ -227,8 +227,17 @@ def test_one_chunk_is_plain_differencing(docs):
 def test_shards_are_even(docs):
     rng = random.Random(6)
     rows = [(i, "y" * rng.randrange(1, 3000) + str(i)) for i in range(800)]
-    for chunk, fan in ((8192, 2048), (100, 2048), (100, 3)):
-        assert sharding.spread(sharding.shard(docs(rows), chunk=chunk, fan=fan))[1] < 0.0005
+    for chunk, heavy in ((8192, 4096), (8192, 100), (100, 100), (100, 900)):
+        assert sharding.spread(sharding.shard(docs(rows), chunk=chunk, heavy=heavy))[1] < 0.0005
+
+
+def test_a_large_group_is_made_up_for_by_all_chunks(docs):
+    """A group of half a shard, in far more bytes than its own chunk holds."""
+    rng = random.Random(16)
+    rows = [(i, "z" * rng.randrange(50, 150) + str(i)) for i in range(1500)]
+    rows += [(10_000 + i, "w" * 999) for i in range(10)] + [(20_000, "v" * 7000)]
+    for chunk in (8192, 60):
+        assert sharding.spread(sharding.shard(docs(rows), chunk=chunk, heavy=100))[0] <= 60
 
 
 def test_combining_partitions_keeps_places_apart():

@@ -1,12 +1,13 @@
 """Shards of near equal bytes by Karmarkar-Karp differencing.
 
-Groups of equal texts are indivisible.  They are dealt to chunks by a hash of
-their digest; differencing within a chunk repeatedly combines the two partial
-partitions of largest spread, oppositely ordered, and ends with one partition of
-the chunk into ``shards`` places.  The partitions of the chunks are then
-combined by the very same rule, FAN of them at a time on the executors until FAN
-or fewer are left for the driver: a tree of differencing, in which no step holds
-more than one chunk or FAN partitions.  Sums and the assignment of rows are
+Groups of equal texts are indivisible.  Differencing repeatedly combines the two
+partial partitions of largest spread, oppositely ordered.  Groups of at least
+1 / HEAVY of all bytes, HEAVY of them at most, go first, on the driver.  All
+others are dealt to chunks by a hash of their digest, and each chunk is
+differenced together with its share of the partition of the large groups, so
+that what these left uneven is made up for by all chunks in proportion.  One
+chunk closes: it is differenced together with what all others left.  No step
+holds more than a chunk or HEAVY groups.  Sums and the assignment of rows are
 DataFrame operations.
 """
 
@@ -20,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import join_groups, pick, small, stored
+from vecloom.llm.common import HEAVY, join_groups, pick, small, stored
 
-#: Groups of a chunk on average, and partitions that one step combines.
+#: Groups of a chunk on average.
 CHUNK = 8192
-FAN = 2048
 
 
 def combine(partitions: Iterable[tuple[object, list[int]]], k: int) -> tuple[dict[object, list[int]], list[int]]:
@@ -72,41 +72,44 @@ def difference(sizes: list[tuple[str, int]], k: int) -> tuple[dict[str, int], li
     return {key: places[0] for key, places in part.items()}, sums
 
 
-def places(groups: DataFrame, shards: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def beside(sizes: list[tuple[bytes, int]], held: list[int]) -> dict[bytes, int]:
+    """The part of each item, differenced together with a partition that is held: parts are the places of ``held``."""
+    k, least = len(held), min(held)
+    part, _ = combine([(key, [size] + [0] * (k - 1)) for key, size in sizes] + [(b"", [h - least + 1 for h in held])], k)
+    home = {at: place for place, at in enumerate(part.pop(b""))}
+    return {key: home[places[0]] for key, places in part.items()}
+
+
+def places(groups: DataFrame, shards: int, chunk: int = CHUNK, heavy: int = HEAVY) -> DataFrame:
     """digest, shard for each group (digest, bytes, n) of texts."""
     spark = groups.sparkSession
-    chunks = max(1, -(-groups.count() // chunk))
-
-    def within(rows: pd.DataFrame) -> pd.DataFrame:
-        part, _ = difference(list(zip(rows["digest"], rows["bytes"].tolist())), shards)
-        return pd.DataFrame({"chunk": rows["chunk"], "digest": rows["digest"], "bytes": rows["bytes"], "place": [part[d] for d in rows["digest"]]})
-
-    dealt = groups.select(F.pmod(F.xxhash64("digest"), F.lit(chunks)).alias("chunk"), "digest", "bytes")
-    own = stored(dealt.groupBy("chunk").applyInPandas(within, "chunk long, digest binary, bytes long, place int"), "chunks")
-    sums = [F.sum(F.when(F.col("place") == i, F.col("bytes")).otherwise(0)) for i in range(shards)]
-    level = stored(own.groupBy(F.col("chunk").alias("node")).agg(F.array(*sums).alias("sums")), "level")
-    # top: where each place of a chunk is in its node of the present level.
-    top, nodes = level.select(F.col("node").alias("chunk"), "node", F.array(*map(F.lit, range(shards))).alias("places")), chunks
-
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        part, total = combine([(int(n), [int(x) for x in s]) for n, s in zip(rows["node"], rows["sums"])], shards)
-        return pd.DataFrame({"node": list(part), "above": int(rows["above"].iloc[0]), "to": list(part.values()), "sums": [total] * len(part)})
-
-    shape = "node long, above long, `to` array<int>, sums array<bigint>"
-    while nodes > 1:
-        above = -(-nodes // fan)
-        if above > 1:
-            found = stored(level.withColumn("above", F.pmod(F.xxhash64("node", F.lit(above)), F.lit(above))).groupBy("above").applyInPandas(merged, shape), "level")
-        else:
-            rows = level.withColumn("above", F.lit(0).cast("long")).toPandas()  # FAN rows at most
-            found = spark.createDataFrame(merged(rows), shape) if len(rows) else level.selectExpr("node", "node AS above", "array(0) AS `to`", "sums")
-        turned = F.transform("places", lambda p: F.element_at("to", p + 1))
-        top = stored(top.join(small(found.select("node", "above", "to"), nodes), "node").select("chunk", F.col("above").alias("node"), turned.alias("places")), "places")
-        level, nodes = found.groupBy(F.col("above").alias("node")).agg(F.first("sums").alias("sums")), above
-    return own.join(small(top.select("chunk", "places"), chunks), "chunk").select("digest", F.element_at("places", F.col("place") + 1).alias("shard"))
-
-
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, chunk: int = CHUNK, fan: int = FAN, rows_per_bucket: int = 20_000) -> DataFrame:
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = [(bytes(r.digest), r.bytes) for r in groups.where(F.col("bytes") * heavy >= total).select("digest", "bytes").collect()]  # heavy rows at most
+    part, held = difference(large, shards)
+    rest = groups.where(F.col("bytes") * heavy < total)
+    left = total - sum(held)
+    chunks = max(1, -(-(groups.count() - len(large)) // chunk))
+    dealt = rest.select(F.pmod(F.xxhash64("digest"), F.lit(chunks)).alias("chunk"), "digest", "bytes")
+
+    def placed(rows: pd.DataFrame, beside_what: list[int]) -> pd.DataFrame:
+        found = beside(list(zip(rows["digest"], rows["bytes"].tolist())), beside_what)
+        return pd.DataFrame({"digest": rows["digest"], "bytes": rows["bytes"], "shard": [found[d] for d in rows["digest"]]})
+
+    def share(rows: pd.DataFrame) -> pd.DataFrame:
+        own = int(rows["bytes"].sum())
+        return placed(rows, [h * own // left for h in held])
+
+    shape = "digest binary, bytes long, shard int"
+    most = stored(dealt.where("chunk > 0").groupBy("chunk").applyInPandas(share, shape), "chunks")
+    sums = list(held)
+    for r in most.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():  # a row a shard
+        sums[r.shard] += r.bytes
+    last = stored(dealt.where("chunk = 0").groupBy("chunk").applyInPandas(lambda rows: placed(rows, sums), shape), "closing")
+    first = spark.createDataFrame([(bytearray(d), part[d]) for d, _ in large], "digest binary, shard int")
+    return first.unionByName(most.select("digest", "shard")).unionByName(last.select("digest", "shard"))
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, chunk: int = CHUNK, heavy: int = HEAVY, rows_per_bucket: int = 20_000) -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``: sums of size (UTF-8 bytes plus 1) are near equal, and
@@ -126,7 +129,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
     groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     n = rows.count()
-    where = stored(groups.select("digest", "n").join(places(groups, shards, chunk, fan), "digest"), "shards")
+    where = stored(groups.select("digest", "n").join(places(groups, shards, chunk, heavy), "digest"), "shards")
     buckets = max(1, -(-n // (shards * rows_per_bucket)))
     bucket = F.pmod(F.xxhash64("id", "size", "crc", F.lit(7)), F.lit(buckets)).cast("int").alias("bucket")
     # Equal rows are counted first, so that no bucket holds more rows than it has different ones.
