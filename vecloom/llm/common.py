@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: A key with at least this part of all rows is hot; there are no more such keys than this.
 HEAVY = 4096
+#: A table whose size is known is written by a task for each so many rows, and by so many tasks at least.
+ROWS_A_TASK = 100_000
+LEAST_TASKS = 16
 
 #: ASCII white space, the characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -53,12 +56,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/vecloom-{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    A lost executor then costs only the tasks that it was running.
+    A lost executor then costs only the tasks that it was running.  ``rows``
+    says about how many rows there are: a small table is then not scattered over
+    a file for each shuffle partition.  It sets the number of tasks alone, and
+    never more tasks than there are partitions.
     """
     path = scratch(df.sparkSession, what)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, rows // ROWS_A_TASK))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

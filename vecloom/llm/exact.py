@@ -117,11 +117,11 @@ class DigestIndex:
             digests = level.count()
             blocks = blocks_for(-(-digests // after))
             met = level.select(F.floor(F.col("run") / FAN).cast("int").alias("level_run"), (F.col("run") % FAN).alias("place"), "digest", "best", "n")
-            shared = stored(shared_bits(bitmap(met, "digest", blocks, "level_run", "place")), "filter")
+            shared = stored(shared_bits(bitmap(met, "digest", blocks, "level_run", "place")), "filter", digests)
             probed = probe(met, shared, "digest", blocks, after * blocks, "level_run")
             apart = probed.where(~F.col("maybe")).select("level_run", "digest", "best", "n")
             merged = probed.where("maybe").groupBy("level_run", "digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-            path = stored(merged, "merged")
+            path = stored(merged, "merged", digests)
             level = stored(apart.unionByName(path).withColumnRenamed("level_run", "run"), "level")
             merges.append((runs, digests, digests - level.count() + path.count()))
             runs = after
@@ -148,16 +148,17 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     index = DigestIndex.empty(docs.sparkSession).flush(docs, id_col, text_col).compact()
     total = index.log.count()
     alone = index.level.where("n = 1").select(F.col("best.id").alias("id"), (-F.col("best.neg")).alias("points"), "digest", F.lit(None).cast("long").alias("mark"), "best", "n")
-    hits = stored(index.level.where("n > 1").select("digest", "n"), "hits")
+    hits = stored(index.level.where("n > 1").select("digest", "n"), "hits", total)
     several = join_groups(index.log, hits, "digest", total).drop("n", "run")
     # Byte verification.  A filter of the marks keeps all other texts out of digests and shuffles;
     # copies collapse in the map tasks, so about one text a class and task is shuffled.
-    blocks = blocks_for(hits.count())
+    repeated = hits.count()
+    blocks = blocks_for(repeated)
     marked = pick(docs, id=id_col, text=text_col).withColumn("mark", row_mark(F.col("text")))
-    maybe = probe(marked, stored(bitmap(several, "mark", blocks), "marks"), "mark", blocks, blocks).where("maybe")
+    maybe = probe(marked, stored(bitmap(several, "mark", blocks), "marks", repeated), "mark", blocks, blocks).where("maybe")
     texts = maybe.select("id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), "mark", normalised(F.col("text")).alias("norm"), _digest(F.col("text")).alias("digest"))
     seen = join_groups(texts, hits, "digest", total).groupBy("digest", "norm").agg(F.min(_entry()).alias("best"), F.count(F.lit(1)).alias("n"))
-    classes = stored(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.first("best").alias("best"), F.first("n").alias("n")), "verified")
+    classes = stored(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.first("best").alias("best"), F.first("n").alias("n")), "verified", repeated)
     rows = join_groups(index.log.drop("run"), classes.where("variants = 1").drop("variants"), "digest", total).select(*alone.columns)
     unlike = classes.where("variants > 1").select("digest")
     if not unlike.isEmpty():

@@ -199,6 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.select("a", "b").where("a != b").distinct(), "links")
     while True:
+        many = now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: the larger neighbours of a node (and itself) go to its smallest one.
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -207,7 +208,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: the smaller neighbours of a node and itself go to its smallest one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         stars = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("n"), "m").where("n != m").distinct()
-        after = stored(stars.select(F.col("m").alias("a"), F.col("n").alias("b")), "links")
+        after = stored(stars.select(F.col("m").alias("a"), F.col("n").alias("b")), "links", many)
         ordered = now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if _sum(after) == _sum(ordered):
             return after.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
@@ -245,9 +246,9 @@ def classified(docs: DataFrame, id_col: str, text_col: str, most: int = 32) -> D
 def placed(rows: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """``rows`` with the ``root`` of the component of their key and its smallest id, ``component_id``, from (key, least, n) and (node, root)."""
     known = distinct.join(roots, distinct[key] == roots.node, "left").select(key, "least", "n", F.coalesce("root", key).alias("root"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("keys"))
+    least, many = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("keys")), distinct.count()
     # A component may hold a third of all keys: its rows are met like a hot key.
-    classes = stored(join_groups(known, least, "root", distinct.count(), "keys").select(key, "root", "component_id", "n"), "classes")
+    classes = stored(join_groups(known, least, "root", many, "keys").select(key, "root", "component_id", "n"), "classes", many)
     return join_groups(rows, classes, key, rows.count()).drop("n")
 
 
@@ -255,9 +256,10 @@ def survivors(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     """``docs`` with one row of each component of (id, mark, root), the one of the smallest id (then mark); null ids come last."""
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    several = join_groups(found, best, "root", found.count(), "size")
+    total = found.count()
+    several = join_groups(found, best, "root", total, "size")
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
-    return keep_rows(docs, stored(several.select("id", "mark", kept.alias("kept")), "several"), id_col, text_col)
+    return keep_rows(docs, stored(several.select("id", "mark", kept.alias("kept")), "several", total), id_col, text_col)
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
