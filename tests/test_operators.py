@@ -130,7 +130,55 @@ def test_views(table):
         features.random_view(rows, 4, "other")
 
 
-@pytest.mark.parametrize("method", ["tac", "tac_trained", "gradnorm", "seic", "magic", "sic"])
+def test_gradients_of_aligned_heads(spark):
+    rng = np.random.default_rng(12)
+    x, y, k = 0.3 * rng.normal(size=(6, 3)), 0.3 * rng.normal(size=(6, 4)), 3
+    rows = spark.createDataFrame([(i, list(map(float, a)), list(map(float, b))) for i, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, y array<double>")
+    start = [rng.normal(size=(k, 3)), rng.normal(size=k), rng.normal(size=(k, 4)), rng.normal(size=k)]
+    soft = lambda z: np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+
+    def loss(w, b, v, c):
+        p, q = soft(x @ w.T + b), soft(y @ v.T + c)
+        return -0.4 * np.log((p * q).sum(axis=1)).mean() + 0.6 * np.log1p(np.exp(-(p * q).sum(axis=0))).mean()
+
+    heads, found = losses.fit_two_heads(rows, k, 1, 1.0, start=tuple(start), beta=0.4)
+    assert found[0] == pytest.approx(loss(*start))
+    for h, (before, after) in enumerate(zip(start, heads)):
+        for at in np.ndindex(before.shape):
+            up, down = ([s.copy() for s in start] for _ in "ab")
+            up[h][at] += 1e-6
+            down[h][at] -= 1e-6
+            assert before[at] - after[at] == pytest.approx((loss(*up) - loss(*down)) / 2e-6, abs=1e-6)
+
+
+def test_gradients_of_a_taught_head(spark):
+    rng = np.random.default_rng(13)
+    x, y, k = rng.normal(size=(7, 3)), rng.normal(size=(7, 3)), 3
+    pairs = spark.createDataFrame([(list(map(float, a)), list(map(float, b))) for a, b in zip(x, y)], "x array<double>, y array<double>")
+    start = [rng.normal(size=(k, 3)), rng.normal(size=k)]
+    soft = lambda z: np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    q = soft((y @ start[0].T + start[1]) / 0.5)
+    loss = lambda w, b: -np.log(((soft(x @ w.T + b) * q) ** 0.6 * k).sum(axis=1)).mean()
+    # A teacher that keeps nothing is the student after its step.
+    *head, found = losses.fit_taught_head(pairs, tuple(start), 1, 1.0, keep=0.0)
+    assert found == [pytest.approx(loss(*start))]
+    for h, (before, after) in enumerate(zip(start, head)):
+        for at in np.ndindex(before.shape):
+            up, down = ([s.copy() for s in start] for _ in "ab")
+            up[h][at] += 1e-6
+            down[h][at] -= 1e-6
+            assert before[at] - after[at] == pytest.approx((loss(*up) - loss(*down)) / 2e-6, abs=1e-6)
+
+
+def test_taught_heads_find_planted_clusters(table, planted):
+    from vecloom import pipelines
+
+    x, truth = planted
+    got = {r.id: r.cluster for r in pipelines.run("temi", table(x), 4, heads=3, neighbours=8, rounds=8).collect()}
+    assert same_clusters(got, truth)
+
+
+@pytest.mark.parametrize("method", ["tac", "tac_trained", "sac", "gradnorm", "seic", "magic", "sic"])
 def test_language_methods_find_planted_clusters(table, planted, method):
     from vecloom import pipelines
 

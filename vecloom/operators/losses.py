@@ -214,8 +214,10 @@ def _contrast_slope(g: np.ndarray, temperature: float) -> np.ndarray:
     return out
 
 
-def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0, temperature: float = 0.5, entropy_weight: float = 5.0, start: tuple[np.ndarray, ...] | None = None, seed: int = 42) -> tuple[tuple[np.ndarray, ...], list[float]]:
-    """Two linear heads under :func:`tac_loss`, one for x and one for the text side y of (id, x, y).
+def fit_two_heads(
+    rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0, temperature: float = 0.5, entropy_weight: float = 5.0, start: tuple[np.ndarray, ...] | None = None, seed: int = 42, beta: float | None = None
+) -> tuple[tuple[np.ndarray, ...], list[float]]:
+    """Two linear heads under :func:`tac_loss`, one for x and one for the text side y of (id, x, y); under :func:`alignment_loss` if ``beta`` is given.
 
     Gradient descent on all rows.  A round is two passes over Arrow batches: the
     first sums the Gram matrix of all columns and the means, the second the
@@ -246,8 +248,8 @@ def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0,
                 if kind == "sums":
                     out = [(z.T @ z).ravel(), z.sum(axis=0), [-np.log(agree).sum()]]
                 else:
-                    slope, by_mean = extra
-                    dz = np.concatenate([-q / agree, -p / agree], axis=1) / n + z @ (slope + slope.T) + by_mean / n
+                    slope, by_mean, instance = extra
+                    dz = instance * np.concatenate([-q / agree, -p / agree], axis=1) / n + z @ (slope + slope.T) + by_mean / n
                     dp, dq = dz[:, : len(b)], dz[:, len(b) :]
                     ep, eq = p * (dp - (p * dp).sum(axis=1, keepdims=True)), q * (dq - (q * dq).sum(axis=1, keepdims=True))
                     out = [(ep.T @ x).ravel(), ep.sum(axis=0), (eq.T @ y).ravel(), eq.sum(axis=0)]
@@ -258,8 +260,15 @@ def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0,
     for _ in range(rounds):
         got = summed("sums")
         g, mean, consistency = got[: 4 * k * k].reshape(2 * k, 2 * k), np.maximum(got[4 * k * k : -1] / n, 1e-9), got[-1] / n
-        found.append(float(column_contrast(g, temperature) + consistency - entropy_weight * -(mean * np.log(mean)).sum()))
-        step = summed("steps", (_contrast_slope(g, temperature), entropy_weight * (np.log(mean) + 1)))
+        if beta is None:
+            found.append(float(column_contrast(g, temperature) + consistency - entropy_weight * -(mean * np.log(mean)).sum()))
+            step = summed("steps", (_contrast_slope(g, temperature), entropy_weight * (np.log(mean) + 1), 1.0))
+        else:
+            # The products of the columns of one cluster stand in the Gram matrix.
+            columns, slope = np.diag(g[:k, k:]), np.zeros((2 * k, 2 * k))
+            found.append(float(beta * consistency + (1 - beta) * np.log1p(np.exp(-columns)).mean()))
+            slope[np.arange(k), k + np.arange(k)] = -(1 - beta) / k / (1 + np.exp(np.minimum(columns, 700)))
+            step = summed("steps", (slope, np.zeros(2 * k), beta))
         at = 0
         for i, h in enumerate(heads):
             heads[i] = h - rate * step[at : at + h.size].reshape(h.shape)
@@ -268,6 +277,50 @@ def fit_two_heads(rows: DataFrame, k: int, rounds: int = 30, rate: float = 1.0,
     return tuple(heads), found
 
 
+def fit_taught_head(
+    pairs: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds: int = 30, rate: float = 0.5, beta: float = 0.6, keep: float = 0.9, sharpen: float = 0.5
+) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """A student head under :func:`beta_mi` against its teacher, over pairs (x, y) of row and neighbour vectors.
+
+    The student sees x and the teacher y; the teacher's logits are divided by
+    ``sharpen``, and its parameters and the prior of its clusters are moving
+    averages that keep ``keep`` of themselves a round.  A round is one pass over
+    Arrow batches that brings arrays of a fixed size to the driver.  Returns the
+    teacher's weights and bias and the loss by round.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    pairs = pairs.select("x", "y").persist()
+    spark, n, found = pairs.sparkSession, pairs.count(), []
+    w, b = (np.array(p, float) for p in start)
+    v, c, prior = w.copy(), b.copy(), np.full(len(b), 1 / len(b))
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((w, b, v, c, prior))
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            w, b, v, c, prior = shared.value
+            for batch in batches:
+                x, y = (np.asarray(batch.column(i).flatten(), float).reshape(batch.num_rows, -1) for i in (0, 1))
+                p, q = np.maximum(_softmax(x @ w.T + b), 1e-8), _softmax((y @ v.T + c) / sharpen)
+                terms = (p * q) ** beta / prior
+                total = np.maximum(terms.sum(axis=1, keepdims=True), 1e-12)
+                # p times the slope by p is -beta times each term's share.
+                part = -beta * terms / total
+                e = part - p * part.sum(axis=1, keepdims=True)
+                out = np.concatenate([(e.T @ x).ravel(), e.sum(axis=0), q.sum(axis=0), [-np.log(total).sum()]])
+                yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        got = np.array(pairs.mapInArrow(sums, "v array<double>").agg(sum_vector("v").alias("v")).first().v) / n
+        found.append(float(got[-1]))
+        w, b = w - rate * got[: w.size].reshape(w.shape), b - rate * got[w.size : w.size + b.size]
+        v, c = keep * v + (1 - keep) * w, keep * c + (1 - keep) * b
+        prior = np.maximum(keep * prior + (1 - keep) * got[w.size + b.size : -1], 1e-8)
+    pairs.unpersist()
+    return v, c, found
+
+
 def fit_labelled_head(
     rows: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds: int = 30, rate: float = 1.0, decay: float = 1e-4, negatives: DataFrame | None = None, negative_weight: float = 1.0
 ) -> tuple[np.ndarray, np.ndarray, list[float]]:
