@@ -148,3 +148,17 @@ def test_command_line(spark, tmp_path, capsys):
     report = cli.run(str(tmp_path / "e.toml"), [f"output_dir={tmp_path}/out"], str(tmp_path), False)
     assert report["metrics"] == pytest.approx({"nmi": 1, "ari": 1, "acc": 1})
     assert cli.main(["list-methods"]) == 0 and "kmeans" in capsys.readouterr().out
+
+
+def test_dataset_stats_by_split(spark, tmp_path, capsys):
+    for name in ("cat/a.png", "cat/b.png", "dog/c.png"):
+        path = tmp_path / "cifar10" / "train" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+    assert cli.main(["dataset-stats", "cifar10", "--data", str(tmp_path)]) == 0
+    found = {line["split"]: line for line in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert set(found) == set(catalog.dataset("cifar10").splits)
+    assert found["train"] == {"split": "train", "n_samples": 3, "n_classes": 2}
+    assert all("error" in line for split, line in found.items() if split != "train")
+    with pytest.raises(ValueError):
+        cli.main(["dataset-stats", "cifar10", "--split", "none", "--data", str(tmp_path)])

@@ -51,6 +51,25 @@ def run(config: str, items: list[str], data: str, dry: bool) -> dict:
     return report
 
 
+def dataset_stats(spark, name: str, root: str, split: str | None) -> list[dict]:  # noqa: ANN001
+    """Samples and classes of the split, or of each split, of a dataset in image folders; what goes wrong in one split is told there."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from vecloom.plans import catalog
+    from vecloom.sources import files
+
+    spec, out = catalog.dataset(name), []
+    for s in [files.checked_split(split, spec.splits)] if split else spec.splits:
+        try:
+            # Labels and counts need the paths alone; the bytes are not read.
+            row = files.image_folder(spark, f"{root}/{spec.name}", s).agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("label").alias("n_classes")).first()
+            out.append({"split": s} | row.asDict())
+        except PySparkException as e:
+            out.append({"split": s, "error": e.getCondition() or type(e).__name__})
+    return out
+
+
 def main(args: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="vecloom")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -60,6 +79,8 @@ def main(args: list[str]) -> int:
     r.add_argument("--dry-run", action="store_true")
     r.add_argument("overrides", nargs="*")
     stats = sub.add_parser("dataset-stats")
+    stats.add_argument("dataset")
+    stats.add_argument("--split")
     stats.add_argument("--data", default="data")
     for name in ("list-datasets", "list-methods", "list-extractors", "queries"):
         sub.add_parser(name)
@@ -81,11 +102,8 @@ def main(args: list[str]) -> int:
 
         print("\n".join(sorted(QUERIES)))
     else:
-        from pyspark.sql import functions as F
-
-        from vecloom.sources.tables import table
-
-        table(_session(), a.data, "embeddings").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("label").alias("n_classes")).show()
+        for line in dataset_stats(_session(), a.dataset, a.data, a.split):
+            print(json.dumps(line, sort_keys=True))
     return 0
 
 
