@@ -408,6 +408,26 @@ def h4_neighbour_consistency_loss(spark: SparkSession, sf: str) -> DataFrame:
     return _named(spark, losses.scan_loss(_soft_pairs(spark, sf)))
 
 
+@query()
+def h2_aligned_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two linear heads from the centres, 5 rounds under the alignment loss: id, cluster."""
+    v = vectors(spark, sf)
+    text = retrieval.soft_retrieval(v, nouns(spark, sf), 0.05).withColumnRenamed("x", "y")
+    w, b = losses.linear_head(np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()]), 5.0)
+    heads, _ = losses.fit_two_heads(v.join(text, "id"), 10, 5, start=(w, b, w, b), beta=0.5)
+    return losses.predicted(v, heads[0], heads[1])
+
+
+@query()
+def h6_taught_head(spark: SparkSession, sf: str) -> DataFrame:
+    """A teacher from the centres, 5 rounds of its student over row and neighbour: id, cluster."""
+    v = vectors(spark, sf)
+    near = neighbors.gather(neighbors.without_self(v, 1), v).select(F.col("i").alias("id"), F.col("x").alias("y"))
+    c = np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()])
+    w, b, _ = losses.fit_taught_head(v.join(near, "id"), losses.linear_head(c, 5.0), 5)
+    return losses.predicted(v, w, b)
+
+
 @query()
 def h4_trained_linear_head(spark: SparkSession, sf: str) -> DataFrame:
     """A linear head, from the centres, after 10 rounds over row and neighbour: id, cluster."""
