@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, exact, langid, licenses, media, mixing, sharding, simhash, toxicity, wordpiece
-from vecloom.llm.common import bounded_batches, fold, table
+from vecloom.llm import bpe, exact, langid, licenses, media, mixing, runs, sharding, simhash, toxicity, wordpiece
+from vecloom.llm.common import bounded_batches, fold, id_text, table
 
 
 def op1_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,44 @@ def op10_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``: the words of about a tenth of the documents, chosen by a hash of the id, repeat from some word on; all others stay as they are."""
+    h = F.crc32(id_text(F.col("doc_id")))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(w, i)), " ")).otherwise(F.lit(""))
+
+    # Inside the transform the words are one value; spelled out they would be cut again for each word.
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("doc_id").isNotNull(), F.transform(F.array(words), repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, after the planted repetitions: their number, the longest, and digests of all runs and of the collapsed text."""
+    bounded_batches(spark)
+    found = runs.find_runs(planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        found.withColumn("longest", longest)
+        .select(
+            "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+            F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+            F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_cnn_language, op2_longest_match_tokens, op3_segment_tree_bpe, op4_descriptor_copies, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp,
-        op8_patience_licenses, op9_pivot_simhash, op10_lsm_exact_dedup,
+        op8_patience_licenses, op9_pivot_simhash, op10_lsm_exact_dedup, op11_lyndon_runs,
     )
 }
 
