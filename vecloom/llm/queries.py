@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, exact, langid, licenses, media, mixing, runs, sharding, simhash, toxicity, wordpiece
+from vecloom.llm import bpe, exact, langid, licenses, media, mixing, runs, sharding, simhash, tokenfile, toxicity, trie, wordpiece
 from vecloom.llm.common import bounded_batches, fold, id_text, table
 
 
@@ -111,11 +111,35 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt(found: DataFrame) -> DataFrame:
+    """``conv``, ``turns``: each conversation c with its first h turns replaced by those of conversation c - c % 20; h is crc32 of c, modulo 4.
+
+    A null id has no such conversation and h = 0.
+    """
+    base = found.where(F.col("conv") % 20 == 0).select(F.col("conv").alias("of"), F.slice("turns", 1, 3).alias("head"))
+    h = fold(F.col("conv"), 4).cast("int")
+    led = F.when(F.col("head").isNull(), F.slice("turns", 1, 0)).otherwise(F.slice("head", F.lit(1), h))
+    met = found.withColumn("of", F.col("conv") - F.col("conv") % 20).join(base, "of", "left")
+    return met.select("conv", F.concat(led, F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+def op12_patricia_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations, with the aggregates of its subtree."""
+    return trie.prefix_trie(rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op13_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in files, read back: where each begins, its length with the end id, and a checksum."""
+    bounded_batches(spark)
+    back = tokenfile.read(tokenfile.token_files(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_cnn_language, op2_longest_match_tokens, op3_segment_tree_bpe, op4_descriptor_copies, op5_levenshtein_toxicity, op6_poisson_mix, op7_karmarkar_karp,
-        op8_patience_licenses, op9_pivot_simhash, op10_lsm_exact_dedup, op11_lyndon_runs,
+        op8_patience_licenses, op9_pivot_simhash, op10_lsm_exact_dedup, op11_lyndon_runs, op12_patricia_conversations, op13_ranked_id_files,
     )
 }
 
@@ -144,7 +168,40 @@ WITH mass AS (
 )
 """
 
+# The crc32 of a short text, bit by bit: DuckDB has no function for it.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, zero: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"""
+
+_TRIE = f"""
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(r := COALESCE(role, ''), t := COALESCE(text, '')) ORDER BY turn NULLS FIRST) AS turns FROM conversations GROUP BY conv_id
+), heads AS (
+  SELECT c, turns, c - c % 20 AS b, ({_CRC.format("c::VARCHAR")} % 4)::BIGINT AS h FROM own
+), seqs AS (
+  SELECT x.c, list_concat(COALESCE(y.turns[1:x.h], []), x.turns[x.h + 1:]) AS turns FROM heads x LEFT JOIN own y ON y.c = x.b
+), steps AS (
+  SELECT c, turns, UNNEST(range(0, len(turns) + 1)) AS d FROM seqs
+), prefixes AS (
+  SELECT c, d, turns[1:d] AS key, len(turns) = d AS is_end, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(turns[d].t, '[^\\x20\\x09-\\x0D]+')) END AS words FROM steps
+), members AS (
+  SELECT *, MIN(c) OVER (PARTITION BY d, key) AS node FROM prefixes
+), nodes AS (
+  SELECT node, d, COUNT(*) AS n, (COUNT(*) - 1) * MAX(words) AS own, sha256(COALESCE(string_agg(CASE WHEN is_end THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends FROM members GROUP BY node, d
+), linked AS (
+  SELECT x.*, p.node AS parent FROM nodes x LEFT JOIN members p ON p.c = x.node AND p.d = x.d - 1
+), kids AS (
+  SELECT parent AS node, d - 1 AS d, COUNT(*) AS kids FROM linked WHERE d > 0 GROUP BY parent, d - 1
+), whole AS (
+  SELECT l.*, COALESCE(k.kids, 0) AS kids FROM linked l LEFT JOIN kids k USING (node, d)
+), sums AS (
+  SELECT a.node, a.d, SUM(w.own) AS saved, SUM((w.kids = 0)::INTEGER) AS leaves FROM whole w JOIN members a ON a.c = w.node AND a.d <= w.d GROUP BY a.node, a.d
+)
+SELECT w.node::BIGINT AS conv_id, w.d::BIGINT AS depth, w.parent::BIGINT AS parent_conv_id, w.n::BIGINT AS n_convs, w.kids::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, w.ends AS ends_sha256
+FROM whole w JOIN sums s USING (node, d)"""
+
 SQL: dict[str, str] = {
+    "op12_patricia_conversations": _TRIE,
     "op6_poisson_mix": _MIX
     + """SELECT doc_id, source, mix_copy,
   ('0x' || substr(md5('shuffle17|' || COALESCE(doc_id::VARCHAR, '') || '|' || mix_copy), 1, 13))::BIGINT AS mix_key,
