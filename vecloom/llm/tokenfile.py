@@ -14,7 +14,9 @@ holds a row for each block, so blocks are read wherever there is room.
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 import re
 import struct
 import uuid
@@ -33,8 +35,10 @@ from vecloom.llm.common import pick, scratch, small, stored
 
 #: A block is closed once it holds so many ids; a document is never cut, so a longer one is a block of its own.
 BLOCK_IDS = 500_000
-#: Words that a Python worker remembers; then it starts anew.
-MEMO = 400_000
+#: Rows of counts that reach the driver.
+FAN = 16
+#: Words that a Python worker remembers at most (about 200 bytes each).
+MEMO = 800_000
 #: Fixed values of the file format: names of a draft and a coded block, then documents, ids, and bytes of the data.
 DRAFT, CODED = b"VLDRAFT1", b"VLCODED1"
 HEAD = struct.Struct("<8sQQQ")
@@ -43,6 +47,9 @@ HEAD = struct.Struct("<8sQQQ")
 LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 KEEP = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
+#: White space before a space does not end a word; texts that hold it are cut by the second pattern.
+_MIXED, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+
 INDEX = "part int, block long, name string, at long, size long, docs long, ids long, before long"
 
 
@@ -94,7 +101,9 @@ class Words:
         self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
         for piece, i in self.library.get_vocab().items():
             self.bytes_of[i] = len(piece)  # one character a byte
+        #: Ids of words that follow a space, which of these came again, and ids of words that begin a text.
         self.memo: dict[str, bytes] = {}
+        self.again: set[str] = set()
         self.first: dict[str, bytes] = {}
         self._ready = True
 
@@ -125,17 +134,16 @@ class Words:
         texts = [(t or "").encode("utf-8", "replace").decode() for t in texts]
         if not self.by_word:
             return self._whole(texts)
-        cut = []
-        for text in texts:
-            words = text.split(" ")
-            if "" in words or any(map(str.isspace, (w[-1] for w in words))):
-                words = [w[i > 0 :] for i, w in enumerate(re.split(r"(?<=\S)(?= )", text))]
-            cut.append(words)
-        fresh = {w for words in cut for w in words[1:]} - self.memo.keys()
+        cut = [text.split(" ") if _MIXED.search(text) is None else [w[i > 0 :] for i, w in enumerate(_CUT.split(text))] for text in texts]
+        met = set().union(*cut)
+        fresh = met.difference(self.memo)
+        self.again.update(met.difference(fresh))
         if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
+            # Words that came once only are forgotten, and at least half of the room is free again.
+            self.memo = {w: self.memo[w] for w in itertools.islice(self.again, MEMO // 2)}
+            self.again = set()
             self.first.clear()
-            fresh = {w for words in cut for w in words[1:]}
+            fresh = met.difference(self.memo)
         self._learn(list(fresh))
         heads = list({words[0] for words in cut} - self.first.keys())
         self.first.update(zip(heads, self._whole(heads)))
@@ -207,6 +215,25 @@ def _heads(folder: str, name: str) -> Iterator[tuple[int, int, int, int]]:
             at += size
 
 
+def _added(counts: DataFrame, rows: int) -> DataFrame:
+    """Counts (token, n), a row a file, added up to FAN rows, in two levels where there are many."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for token, n in zip(b.column(0), b.column(1)):
+                at = np.asarray(token.values)
+                if len(at):
+                    total = np.pad(total, (0, max(0, int(at[-1]) + 1 - len(total))))
+                    total[at] += np.asarray(n.values)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([used.tolist()], pa.list_(pa.int64())), pa.array([total[used].tolist()], pa.list_(pa.int64()))], names=["token", "n"])
+
+    for parts in sorted({FAN, max(FAN, math.isqrt(rows))}, reverse=True):
+        counts = counts.repartition(parts).mapInArrow(add, "token array<long>, n array<long>")
+    return counts
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     """Files of ids in ``folder``: an index row for each block, and the id of each rank."""
@@ -276,12 +303,11 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             )
 
     drafts = stored(dealt.mapInArrow(draft, "part int, name string, ids long, token array<long>, n array<long>"), "drafts")
-    counts = drafts.select(F.explode(F.arrays_zip("token", "n")).alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n"))
     told = json.loads(encoder.tokenizer)
     ranked = np.arange(1 + max([end or 0, *told["model"]["vocab"].values(), *(t["id"] for t in told.get("added_tokens", []))]))
     weight = np.zeros(len(ranked), np.int64)
-    for r in counts.collect():  # a row an id of the vocabulary
-        weight[r.token] = r.n
+    for r in _added(drafts.select("token", "n"), drafts.count()).collect():  # FAN rows of an entry an id
+        weight[r.token] += np.array(r.n, np.int64)
     ranked = ranked[np.argsort(-weight, kind="stable")].astype("<u4")
     rank = np.empty(len(ranked), np.uint32)
     rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
