@@ -160,7 +160,8 @@ def fit_scan_head(pairs: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds
 
     A round is two passes over Arrow batches: the first sums the means that the
     entropy needs, the second the gradients under them; both bring k by d numbers
-    a batch at most.  Returns weights, bias and the loss by round.
+    a partition at most.  Returns weights, bias and the loss by round; the last
+    loss, one more than there are rounds, is that of the weights returned.
     """
     from collections.abc import Iterator
 
@@ -189,10 +190,12 @@ def fit_scan_head(pairs: DataFrame, start: tuple[np.ndarray, np.ndarray], rounds
 
         return np.array(pairs.mapInArrow(run, "v array<double>").agg(sum_vector("v").alias("v")).first().v)
 
-    for _ in range(rounds):
+    for r in range(rounds + 1):
         got = summed(None)
         mean = np.maximum(got[:-1] / n, 1e-8)
         losses.append(float(got[-1] / n - entropy_weight * entropy(got[:-1] / n, 1e-9)))
+        if r == rounds:
+            break
         step = summed(entropy_weight * (np.log(mean) + 1)) / n
         w, b = w - rate * step[: w.size].reshape(w.shape), b - rate * step[w.size :]
     pairs.unpersist()
@@ -286,7 +289,8 @@ def fit_taught_head(
     ``sharpen``, and its parameters and the prior of its clusters are moving
     averages that keep ``keep`` of themselves a round.  A round is one pass over
     Arrow batches that brings arrays of a fixed size to the driver.  Returns the
-    teacher's weights and bias and the loss by round.
+    teacher's weights and bias and the loss by round; the last loss, one more
+    than there are rounds, is that of the parameters returned.
     """
     from collections.abc import Iterator
 
@@ -296,7 +300,7 @@ def fit_taught_head(
     spark, n, found = pairs.sparkSession, pairs.count(), []
     w, b = (np.array(p, float) for p in start)
     v, c, prior = w.copy(), b.copy(), np.full(len(b), 1 / len(b))
-    for _ in range(rounds):
+    for r in range(rounds + 1):
         shared = spark.sparkContext.broadcast((w, b, v, c, prior))
 
         def sums(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -314,6 +318,8 @@ def fit_taught_head(
 
         got = np.array(pairs.mapInArrow(sums, "v array<double>").agg(sum_vector("v").alias("v")).first().v) / n
         found.append(float(got[-1]))
+        if r == rounds:
+            break
         w, b = w - rate * got[: w.size].reshape(w.shape), b - rate * got[w.size : w.size + b.size]
         v, c = keep * v + (1 - keep) * w, keep * c + (1 - keep) * b
         prior = np.maximum(keep * prior + (1 - keep) * got[w.size + b.size : -1], 1e-8)
