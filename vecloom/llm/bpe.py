@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import array
 import base64
+import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -244,26 +245,40 @@ def load(path: str | None = None, pattern: str | None = None) -> Encoder:
     return Encoder(load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN)
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder: Encoder | None = None) -> DataFrame:
-    """id, n_tokens, ids, decoded for each row of ``docs``.
+#: What :func:`round_trip` can return of a text, beside its id and number of tokens.
+OUTPUTS = {"ids": "binary", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", encoder: Encoder | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """id, n_tokens and ``outputs`` for each row of ``docs``.
 
     ``ids`` are the tokens of the whole text as little-endian unsigned 32-bit
-    numbers, ``decoded`` the bytes that they decode to.  A null text is empty:
-    no tokens.  Ids may repeat or be null; an empty table gives an empty result.
-    The vocabulary (of a fixed size) goes to the executors once.
+    numbers, ``decoded`` the bytes that they decode to; ``ids_sha256`` and
+    ``decoded_sha256`` are their lowercase digests, made where the text is, so
+    that what is only hashed is never sent.  A null text is empty: no tokens.
+    Ids may repeat or be null, and each row has its result; very long texts are
+    read whole; other columns are not read, whatever their names; an empty table
+    gives an empty result.  The vocabulary (of a fixed size) goes to the
+    executors once.
     """
+    if unknown := set(outputs) - set(OUTPUTS):
+        raise ValueError(f"unknown outputs {sorted(unknown)}; known: {', '.join(OUTPUTS)}")
     shared = docs.sparkSession.sparkContext.broadcast(encoder or load())
     rows = pick(docs, id=id_col, text=text_col)
 
+    def described(own: Encoder, ids: list[bytes]) -> Iterator[pa.Array]:
+        decoded = [own.decode(x) for x in ids] if {"decoded", "decoded_sha256"} & set(outputs) else []
+        for name in outputs:
+            found = ids if name.startswith("ids") else decoded
+            yield pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()) if name.endswith("sha256") else pa.array(found, pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 ids = own.encode_batch(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],
-                    names=[id_col, "n_tokens", "ids", "decoded"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *described(own, ids)], names=[id_col, "n_tokens", *outputs])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+    kinds = ", ".join(f"{name} {OUTPUTS[name]}" for name in outputs)
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_tokens long, {kinds}")

@@ -28,8 +28,7 @@ def op2_longest_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded text of every document."""
     bounded_batches(spark)
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"))
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
 def op4_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
