@@ -42,8 +42,8 @@ def _digest(text: Column) -> Column:
 
 
 def _entry() -> Column:
-    """Orders the rows of a class: most code points, then smallest id, null ids last."""
-    return F.struct((-F.col("points")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))
+    """Orders the rows of a class: most code points, then smallest id, null ids last; rows of one id by the mark of their text."""
+    return F.struct((-F.col("points")).alias("neg"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("mark").alias("mark"))
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,7 +170,9 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _kept() -> Column:
-    return F.col("id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.neg"))
+    """Whether a row is the one of its class that stays; a class of one row has no mark."""
+    best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.neg")) & F.col("mark").eqNullSafe(F.col("best.mark"))
+    return (F.col("n") == 1) | best
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +180,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when they are identical without ``[\\x20\\x09-\\x0D]``; null
     equals empty.  Of equal texts the row with the most code points stays, ties
-    go to the smallest id and null ids come last.  Rows that share id and text
-    are told apart by nothing, so all of them say ``kept`` if one does; very long
+    go to the smallest id and null ids come last; of rows that share an id and
+    differ in white space alone, one of most code points stays.  Rows that share
+    id and text are told apart by nothing, so all of them say ``kept`` if one
+    does; very long
     texts are read whole.  Other columns are not read, whatever their names.  An
     empty table gives an empty result.
     """
