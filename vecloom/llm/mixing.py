@@ -68,22 +68,22 @@ def distribution(rate_table: DataFrame) -> DataFrame:
     return sums.groupBy("source", "rate", "rounds").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
 
 
-def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = 17) -> DataFrame:
-    """``docs`` with each row repeated by its draw and shuffled; all columns stay, ``mix_copy`` (from 0) and ``mix_key`` are added.
+def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = 17, copy_col: str = "mix_copy", key_col: str = "mix_key") -> DataFrame:
+    """``docs`` with each row repeated by its draw and shuffled; all columns stay, ``copy_col`` (from 0) and ``key_col`` are added.
 
-    ``mix_copy`` numbers the copies of a row: COPIES times the round, plus the
+    ``copy_col`` numbers the copies of a row: COPIES times the round, plus the
     place in the round, so it has no gaps where the rate is ROUND or less.
     Columns of these two names in the input are replaced, all others stay
     whatever their names.  Rows with equal ids get equal draws (ties of
-    ``mix_key`` keep no order); a null id counts as empty text.  A text is
+    ``key_col`` keep no order); a null id counts as empty text.  A text is
     carried whole, however long.  Empty tables and sources of weight 0 give no
-    rows.  The rows come in the order of ``mix_key`` within a partition and
+    rows.  The rows come in the order of ``key_col`` within a partition and
     hashed over the partitions, so reading the partitions in turn reads a global
     shuffle.
     """
     own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("source", "cdf", "rounds", "span", "round", "u", "n")}
     col = lambda c: F.col(own[c])
-    docs = docs.drop("mix_copy", "mix_key")
+    docs = docs.drop(copy_col, key_col)
     cdf = distribution(rates(docs, source_col, text_col, weights, budget)).where("rate > 0").select(*(F.col(c).alias(own[c]) for c in ("source", "cdf", "rounds")))
     sources = cdf.count()
     # HEAVY sources (1.5 KB each) are broadcast at most; more are met by a shuffle on the source.
@@ -105,8 +105,8 @@ def poisson_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         .withColumn(own["n"], count)
         .where(col("n") > 0)
         .drop(own["source"], own["cdf"], own["u"], own["rounds"])
-        .withColumn("mix_copy", F.explode(F.sequence(base, base + col("n") - 1)))
+        .withColumn(copy_col, F.explode(F.sequence(base, base + col("n") - 1)))
         .drop(own["n"], own["round"])
-        .withColumn("mix_key", _bits(F.concat(id_text(F.col(id_col)), F.lit("|"), F.col("mix_copy").cast("string")), f"shuffle{seed}"))
+        .withColumn(key_col, _bits(F.concat(id_text(F.col(id_col)), F.lit("|"), F.col(copy_col).cast("string")), f"shuffle{seed}"))
     )
-    return copies.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    return copies.repartition(F.col(key_col)).sortWithinPartitions(key_col)
