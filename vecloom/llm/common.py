@@ -94,15 +94,19 @@ def fold(column: Column, n: int) -> Column:
 def hash_sample(df: DataFrame, keys: list[str], most: int, seed: int) -> DataFrame:
     """About ``most`` rows at most, chosen by a hash of the key columns alone.
 
-    One count decides the rate, so no sort and no driver-side list is needed; a
-    table with fewer rows is taken whole.  The rate has the hash's 64 bits, so
-    it is right for any count.  Rows of equal keys count once in a sample.
+    Rows of equal keys count once, however many rows there are; of those that
+    differ in other columns the smallest stays.  One count decides the rate, so
+    no sort and no driver-side list is needed; a table with fewer rows is taken
+    whole.  The rate has the hash's 64 bits, so it is right for any count.
     """
     n = df.count()
-    if n <= most:
-        return df
-    cut = (most << 64) // n - 2**63
-    return df.where(F.xxhash64(*keys, F.lit(seed)) < F.lit(cut)).dropDuplicates(keys)
+    if n > most:
+        df = df.where(F.xxhash64(*keys, F.lit(seed)) < F.lit((most << 64) // n - 2**63))
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    once = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least"))
+    return once.select(*(c if c in keys else F.col(f"least.{c}").alias(c) for c in df.columns))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, size: str = "n") -> DataFrame:

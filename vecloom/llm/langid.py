@@ -25,9 +25,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDED = 8
-#: Labelled rows that the network is fitted on at most, and windows of each, evenly spread over the text.
-SAMPLE_ROWS = 4_000
-SAMPLE_WINDOWS = 3
+#: Labelled rows that the network is fitted on at most, each with all of its windows.
+SAMPLE_ROWS = 1_500
 BATCH = 128
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -133,7 +132,7 @@ def train(names: list[str], windows: np.ndarray, truth: np.ndarray, epochs: int
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_ROWS, seed: int = 3) -> Network | None:
     """A network from about ``most`` labelled rows at most; None if there is no row with a label and a letter.
 
-    What reaches the driver are SAMPLE_WINDOWS windows of each of these rows.
+    What reaches the driver are the texts of these rows, cut to windows.
     """
     rows = hash_sample(pick(labelled, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text IS NOT NULL"), ["id", "text"], most, seed)
 
@@ -145,10 +144,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 if not has_letter(text):
                     continue
                 all_of = windows_of(text.encode("utf-8", "replace"))
-                for w in np.unique(np.linspace(0, len(all_of) - 1, SAMPLE_WINDOWS).astype(int)):
-                    key.append(f"{i}/{w}")
-                    lang.append(name)
-                    out.append(all_of[w].tobytes())
+                key += [f"{i}/{w}" for w in range(len(all_of))]
+                lang += [name] * len(all_of)
+                out += [w.tobytes() for w in all_of]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(lang, pa.string()), pa.array(out, pa.binary())], names=["key", "lang", "window"])
 
     sample = rows.mapInArrow(cut, "key string, lang string, window binary").toPandas().sort_values(["key", "window", "lang"])
