@@ -25,6 +25,8 @@ from vecloom.llm.common import HEAVY, join_groups, pick, small, stored
 
 #: Groups of a chunk on average.
 CHUNK = 8192
+#: Copies of one row that a task spells out at once.
+SPAN = 65_536
 
 
 def combine(partitions: Iterable[tuple[object, list[int]]], k: int) -> tuple[dict[object, list[int]], list[int]]:
@@ -140,8 +142,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("shard", "bucket").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     numbered = placed.withColumn("r", F.coalesce(F.sum("copies").over(own), F.lit(0))).join(small(offsets, buckets * shards), ["shard", "bucket"])
-    first = F.col("offset") + F.col("r")
-    each = numbered.withColumn("slot", F.explode(F.sequence(first, first + F.col("copies") - 1)))
+    numbered = numbered.withColumn("first", F.col("offset") + F.col("r")).withColumn("end", F.col("first") + F.col("copies"))
+    slots = F.explode(F.sequence("first", F.col("end") - 1))
+    each = numbered.where(F.col("copies") <= SPAN).withColumn("slot", slots)
+    if not placed.where(F.col("copies") > SPAN).isEmpty():
+        # Rows that repeat very often go to different tasks in spans before they are spelled out.
+        spans = numbered.where(F.col("copies") > SPAN).withColumn("first", F.explode(F.sequence(F.col("first"), F.col("end") - 1, F.lit(SPAN).cast("long"))))
+        spans = spans.withColumn("end", F.least("end", F.col("first") + SPAN)).repartition("shard", "first")
+        each = each.unionByName(spans.withColumn("slot", slots))
     return each.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
