@@ -264,3 +264,49 @@ def test_differencing_matches_a_plain_version():
         own[part[k]] += v
     assert [own[i] for i in range(5)] == sums and max(sums) - min(sums) <= 5
     assert sharding.difference([], 3) == ({}, [0, 0, 0])
+
+
+def test_rows_of_one_id_that_differ_in_white_space(spark):
+    """One class, one id, equally many code points: one row stays."""
+    from vecloom.llm import exact
+
+    rows = [(7, "a b "), (7, "ab  "), (7, " a b"), (8, "ab"), (None, "x y"), (None, "xy ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = exact.exact_dedup(docs).collect()
+    assert sorted(((r.keep_id, r.group_size) for r in found), key=repr) == sorted([(7, 4)] * 4 + [(None, 2)] * 2, key=repr)
+    assert sum(r.kept for r in found) == 2 and {r.doc_id for r in found if r.kept} == {7, None}
+    left = [tuple(r) for r in exact.drop_exact(docs).collect()]
+    assert len(left) == 2 and {i for i, _ in left} == {7, None} and sorted(left, key=repr) == sorted((tuple(r) for r in exact.drop_exact(docs.repartition(3)).collect()), key=repr)
+
+
+def test_samples_count_equal_rows_once(spark):
+    from vecloom.llm.common import hash_sample
+
+    rows = [(i % 10, "t", i % 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string, label int")
+    small, large = hash_sample(docs, ["id", "text"], 1000, 1).collect(), hash_sample(docs, ["id", "text"], 30, 1).collect()
+    assert sorted(tuple(r) for r in small) == sorted((i, "t", min(label for j, _, label in rows if j == i)) for i in range(10))
+    assert {tuple(r) for r in large} <= {tuple(r) for r in small} and 0 < len(large) < 10
+    assert hash_sample(docs.select("id"), ["id"], 1000, 1).count() == 10
+
+
+def test_copies_of_a_row_are_spelled_out_in_spans(spark, monkeypatch):
+    from vecloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "SPAN", 5)
+    rows = [(None, None)] * 23 + [(1, "a")] * 5 + [(i, f"text {i}") for i in range(2, 30)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=3).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 23
+    for s in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_mixture_keeps_columns_of_its_own_names(spark):
+    from vecloom.llm import mixing
+
+    rows = [(i, "word " * (i + 1), f"s{i % 2}", -i, 0.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_copy long, `x.y` double")
+    got = mixing.poisson_mix(docs, copy_col="c", key_col="k")
+    assert got.columns == [*docs.columns, "c", "k"] and all(r.mix_copy == -r.doc_id and r["x.y"] == 0.5 for r in got.collect())
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in mixing.poisson_mix(docs).collect())

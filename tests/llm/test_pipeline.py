@@ -117,14 +117,23 @@ def test_empty_and_odd_tables(spark, tmp_path):
 @pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "near_dedup", "mixing"])
 def test_stages_keep_clashing_columns(spark, folder, name):
     """Extra columns, whatever their names, pass through unchanged; rows of one id and different texts are rows of their own."""
-    rows = [(5, "red green blue", "s", i, i, i) for i in (1, 1)] + [(5, "one two three", "s", 2, 2, 2), (None, "x y z", "s", 3, 3, 3)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string, id int, mark int, kept int")
+    rows = [(5, "red green blue", "s", i, i, i, i, i, i) for i in (1, 1)] + [(5, "one two three", "s", 2, 2, 2, 2, 2, 2), (None, "x y z", "s", 3, 3, 3, 3, 3, 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, id int, mark int, kept int, mix_copy int, mix_key int, `x.y` int")
     got = dict(pipeline.STAGES)[name](spark, table, folder)
     assert got.columns == table.columns
     found = {tuple(r) for r in got.collect()}
     assert found <= set(rows) and (name == "mixing" or found == set(rows))
     if name in ("exact_dedup", "near_dedup"):
         assert got.count() == 3
+    if name == "mixing":
+        assert {r.doc_id for r in got.collect()} <= {5, None} and got.count() > 0
+
+
+def test_encoding_does_not_read_other_columns(spark, folder):
+    table = spark.createDataFrame([(5, "red green", "a", 1), (5, None, "a", 2), (None, "word " * 70_000, "b", 3), (5, "red green", "a", 1)], "doc_id long, text string, ids string, `x.y` int")
+    got = dict(pipeline.STAGES)["bpe"](spark, table, folder).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(bpe.load().encode_batch([t])[0]) // 4 for t in ("red green", None, "word " * 70_000, "red green"))
+    assert dict(pipeline.STAGES)["bpe"](spark, table.limit(0), folder).collect() == []
 
 
 def test_near_copies_of_a_hot_group(spark, folder):

@@ -478,4 +478,6 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             x = np.array([own.features(t.as_py()) for t in b.column(place)]).reshape(-1, FEATURES)
             yield b.filter(pa.array(own.scores(x) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    # By place, since a name may hold a dot.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
