@@ -162,3 +162,19 @@ def test_dataset_stats_by_split(spark, tmp_path, capsys):
     assert all("error" in line for split, line in found.items() if split != "train")
     with pytest.raises(ValueError):
         cli.main(["dataset-stats", "cifar10", "--split", "none", "--data", str(tmp_path)])
+
+
+def test_values_of_overrides():
+    got = {"{a = 1, b = [x, 2]}": {"a": 1, "b": ["x", 2]}, "[[1, 2], [3]]": [[1, 2], [3]], "true": True, "1_000": 1000, "007": "007", "-3e4": -3e4, "nmi,": ["nmi"], "it's": "it's", "": "", "0.5,none": [0.5, None], "'a,b',c": ["a,b", "c"]}
+    assert {v: config.parse_value(v) for v in got} == got
+
+
+def test_attacks():
+    attack = config.experiment(TOML, ["attack=shift", "attack.apply_to_splits='test,val'", "attack.variant=cos", "attack.decoder_path=a/b.pt", "attack.target_strategy=random"]).image_dataset.attack
+    assert attack.apply_to_splits == ("test", "val") and attack.enabled and attack.seed == 7
+    assert attack.params == {"variant": "cos", "decoder_path": "a/b.pt", "target_strategy": "random"}
+    for name in ("none", "false", "None"):
+        off = config.experiment(TOML, [f"attack={name}"])
+        assert off.image_dataset.attack is None and "attack" not in off.output_dir
+    assert config.experiment(TOML, ["attack=shift", "attack.apply_to_splits=[test]"]).image_dataset.attack.apply_to_splits == ("test",)
+    assert "attack" not in config.experiment(TOML, ["attack=shift", "adversarial=false"]).output_dir

@@ -446,3 +446,63 @@ def test_labelled_head_learns(spark, planted):
     rows = spark.createDataFrame([([float(e) for e in v], int(c)) for v, c in zip(x, truth)], "x array<double>, cluster int")
     w, b, loss = losses.fit_labelled_head(rows, (np.zeros((4, 12)), np.zeros(4)), 15, 5.0)
     assert loss[-1] < 0.5 * loss[0] and ((x @ w.T + b).argmax(axis=1) == truth).all()
+
+
+def optimality(x, at, alpha, ridge, atoms, c):
+    """How far a code is from the conditions of the least elastic net."""
+    full = np.zeros(len(x))
+    full[atoms] = c
+    g = x @ (x[at] - full @ x) - ridge * full
+    g[at] = 0
+    on = full != 0
+    return max(np.abs(g[on] - alpha * np.sign(full[on])).max(initial=0), (np.abs(g[~on]) - alpha).max(initial=0))
+
+
+@pytest.mark.parametrize("tau", [1.0, 0.9, 0.5])
+def test_paths_end_at_the_elastic_net(tau):
+    rng = np.random.default_rng(21)
+    for trial in range(40):
+        n, d = rng.integers(2, 50), rng.integers(2, 10)
+        x = rng.normal(size=(n, d))
+        if trial % 3 == 0:
+            x[: n // 2] = x[n // 2 : n // 2 * 2]  # equal atoms
+        if trial % 4:
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if trial % 5 == 0:
+            x[-1] = 0
+        for gamma in (2, 20, 500):
+            strong = np.abs(x @ x.T)
+            np.fill_diagonal(strong, 0)
+            alpha = strong.max(axis=1) / (tau * gamma)
+            for at, (atoms, c) in enumerate(subspace.homotopy(x, np.arange(n), tau * alpha, (1 - tau) * alpha)):
+                assert at not in atoms and optimality(x, at, tau * alpha[at], (1 - tau) * alpha[at], atoms, c) < 1e-8
+
+
+def test_paths_equal_coordinate_descent(table):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(40, 60))  # more numbers than atoms, so that the descent converges
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lars, descent = (subspace.elastic(x.copy(), np.arange(40), 20.0, 50, True, algorithm=a) for a in ("lars", "descent"))
+    dense = [np.zeros((40, 40)), np.zeros((40, 40))]
+    for out, (i, j, w) in zip(dense, (lars, descent)):
+        out[i, j] = w
+    assert np.allclose(*dense, atol=1e-6)
+    few = subspace.elastic(x, np.arange(40), 20.0, 2, True)
+    assert (np.bincount(few[0]) <= 2).all()
+    got = {(r.i, r.j): r.w for r in subspace.elastic_net(table(x), 20.0).collect()}
+    assert got == {(i, j): pytest.approx(w) for i, j, w in zip(*lars)}
+    for bad in ({"tau": 0.0}, {"tau": 0.5, "algorithm": "descent"}, {"algorithm": "none"}):
+        with pytest.raises(ValueError):
+            subspace.elastic_net(table(x), **bad)
+
+
+def test_rows_of_a_factor_are_taken_out():
+    rng = np.random.default_rng(23)
+    a = rng.normal(size=(7, 9))
+    gram = a @ a.T
+    for k in range(7):
+        factor = np.eye(10)
+        factor[:7, :7] = np.linalg.cholesky(gram)
+        subspace._without(factor, k, 7)
+        rest = np.delete(np.delete(gram, k, 0), k, 1)
+        assert np.allclose(factor[:6, :6] @ factor[:6, :6].T, rest) and np.allclose(np.triu(factor[:6, :6], 1), 0) and factor[6, 6] == 1

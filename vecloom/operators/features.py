@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,24 +144,31 @@ def readable(name: Column) -> Column:
     return F.translate(name, "_-", "  ")
 
 
+# Fixed values of cache paths: what parts words, what stands for a dot, the bytes of a
+# name, and of a longer one the characters kept, the mark and the hash's digits.
+WORD_ENDS, DOT = r"[-/\\ :=]+", "p"
+NAME_BYTES, STEM_KEPT, HASH_MARK, HASH_DIGITS = 240, 160, "__hash", 16
+
+
 def cache_token(value: object) -> str:
-    """A value as part of a cache path."""
-    text = str(value).strip().lower()
-    text = text.translate(str.maketrans({"/": "-", "\\": "-", " ": "-", ":": "-", "=": "-", ".": "p"}))
-    return "-".join(filter(None, text.split("-")))
+    """A value as part of a cache path: its words in lower case, with dashes between."""
+    words = re.split(WORD_ENDS, str(value).strip().lower().replace(".", DOT))
+    return "-".join(w for w in words if w)
 
 
 def cache_key(*parts: object) -> str:
     """The tokens of all parts that are neither None nor blank."""
-    return "__".join(cache_token(p) for p in parts if p is not None and str(p).strip())
+    given = ["" if p is None else str(p).strip() for p in parts]
+    return "__".join(cache_token(p) for p in given if p)
 
 
-def cache_name(stem: str, suffix: str, most: int = 160) -> str:
-    """A file name of 240 bytes at most; longer stems are cut and told apart by a hash."""
-    stem, suffix = cache_key(stem), "." + suffix.removeprefix(".")
-    if len((stem + suffix).encode()) <= 240:
-        return stem + suffix
-    return f"{stem[:most].rstrip('_-')}__hash{hashlib.sha1(stem.encode()).hexdigest()[:16]}{suffix}"
+def cache_name(stem: str, suffix: str, most: int = STEM_KEPT) -> str:
+    """A file name of NAME_BYTES at most; longer stems are cut and told apart by a hash of the whole."""
+    stem, ending = cache_key(stem), f".{suffix.lstrip('.')}"
+    if len(stem.encode()) + len(ending.encode()) > NAME_BYTES:
+        told_apart = HASH_MARK + hashlib.sha1(stem.encode()).hexdigest()[:HASH_DIGITS]
+        stem = stem[:most].rstrip("_-") + told_apart
+    return stem + ending
 
 
 def cache_token_column(value: Column) -> Column:

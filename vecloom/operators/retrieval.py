@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.ordinal import with_ordinal
@@ -36,6 +36,20 @@ def semantic_clusters(dataset: str, rows: int, k: int, size: int, explicit: int
     return max(round(rows / size), k), "size_heuristic"
 
 
+def semantic_clusters_columns(name: Column, rows: Column, k: Column, size: int) -> Column:
+    """:func:`semantic_clusters` of columns: (clusters, source); halves round to the even number."""
+    token = F.regexp_replace(F.lower(F.trim(name)), "[-_ ]", "")
+    own = F.coalesce(*(F.when(token == t, F.lit(v)) for t, v in SEMANTIC_CLUSTERS.items()))
+    by_size = F.when(rows / k < size, 3 * k).otherwise(F.greatest(F.bround(rows / size).cast("int"), k))
+    found = F.coalesce(F.greatest(own, F.when(own.isNotNull(), k)), by_size)
+    return F.struct(found.cast("int").alias("clusters"), F.when(own.isNotNull(), "official_default").otherwise("size_heuristic").alias("source"))
+
+
+def filter_clusters_column(dataset_default: Column, k: Column, explicit: Column) -> Column:
+    """:func:`filter_clusters` of columns."""
+    return F.coalesce(explicit, dataset_default, 3 * k).cast("int")
+
+
 def filter_clusters(dataset_default: int | None, k: int, explicit: int | None = None) -> int:
     """The number of filter clusters: explicit, the dataset's default, or 3 k."""
     return explicit if explicit is not None else dataset_default if dataset_default is not None else 3 * k

@@ -25,9 +25,29 @@ def _values(rows: list[tuple]) -> str:
 _SPECS = [(d.name, d.mode, ",".join(d.splits)) for d in catalog.DATASETS]
 
 
-@query(f"SELECT name, mode, splits, row_number() OVER (ORDER BY name)::INTEGER AS place FROM (VALUES {_values(_SPECS)}) t(name, mode, splits)")
+_NAMES = [d.name for d in catalog.DATASETS]
+#: A dataset for each part, as a user might spell it: odd parts in capitals, with dashes.
+_ASKED = f"asked AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN replace(upper(name), '_', '-') ELSE name END AS asked FROM part JOIN (SELECT name, place FROM (VALUES {_values([(n, i) for i, n in enumerate(_NAMES)])}) t(name, place)) d ON d.place = p_partkey % {len(_NAMES)})"
+_TOKEN = "replace(replace(lower(asked), '-', ''), '_', '')"
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int"))
+    spelled = F.when(F.col("p_partkey") % 2 == 1, F.translate(F.upper(name), "_", "-")).otherwise(name)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), spelled.alias("asked"))
+
+
+def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of (id, asked) with what is known of the dataset of that name, however it is spelled."""
+    told = known.withColumn("token", features.name_token(F.col("name")))
+    return rows.withColumn("token", features.name_token(F.col("asked"))).join(F.broadcast(told), "token").drop("token")  # a row a dataset
+
+
+@query(f"WITH {_ASKED} SELECT id, name, mode, splits FROM asked JOIN (VALUES {_values(_SPECS)}) t(name, mode, splits) ON replace(name, '_', '') = {_TOKEN}")
 def s2_datasets_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.datasets(spark).withColumn("splits", F.array_join("splits", ",")).select("name", "mode", "splits", "place")
+    """The dataset that each part asks for."""
+    known = catalog.datasets(spark).select("name", "mode", F.array_join("splits", ",").alias("splits"))
+    return _looked_up(_asked(spark, sf), known).select("id", "name", "mode", "splits")
 
 
 @query("SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id LIMIT 100")
@@ -61,9 +81,10 @@ def s12_class_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), features.readable(F.col("p_type")).alias("entry"))
 
 
-@query(f"SELECT name, train, test FROM (VALUES {_values(sorted((k, *v) for k, v in catalog.SPLITS.items()))}) t(name, train, test)")
+@query(f"WITH {_ASKED} SELECT id, name, train, test FROM asked JOIN (VALUES {_values(sorted((k, *v) for k, v in catalog.SPLITS.items()))}) t(name, train, test) ON replace(name, '_', '') = {_TOKEN}")
 def s13_default_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.default_splits(spark)
+    """The splits that the dataset of each part is trained and tested on; datasets for tests alone have none."""
+    return _looked_up(_asked(spark, sf), catalog.default_splits(spark)).select("id", "name", "train", "test")
 
 
 _SPLIT = "CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'val' ELSE 'test' END"
@@ -88,11 +109,12 @@ def s17_joined_splits(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.joined_splits(rows, ("train", "val")).select("id", "label", "split", "ordinal")
 
 
-@query("""SELECT name, asked, CASE WHEN name = 'places365_standard' AND asked = 'train' THEN 'train-standard' WHEN name = 'pets' AND asked = 'train' THEN 'trainval' ELSE asked END AS read
-FROM (VALUES ('places365_standard'), ('pets'), ('flowers')) d(name), (VALUES ('train'), ('test')) s(asked)""")
+@query(f"""WITH {_ASKED}, d AS (SELECT id, name, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM asked JOIN (VALUES {_values([(n,) for n in _NAMES])}) t(name) ON replace(name, '_', '') = {_TOKEN})
+SELECT id, name, split, CASE WHEN name = 'places365_standard' AND split = 'train' THEN 'train-standard' WHEN name = 'pets' AND split = 'train' THEN 'trainval' ELSE split END AS read FROM d""")
 def s18_split_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, s) for n in ("places365_standard", "pets", "flowers") for s in ("train", "test")], "name string, asked string")
-    return rows.withColumn("read", catalog.split_alias(F.col("name"), F.col("asked")))
+    """The split that is read for the one that each part asks for."""
+    rows = _looked_up(_asked(spark, sf), catalog.datasets(spark).select("name")).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("id") % 3 + 1).cast("int")))
+    return rows.select("id", "name", "split", catalog.split_alias(F.col("name"), F.col("split")).alias("read"))
 
 
 _PIXELS = "list_transform(embedding, lambda e: abs(e::DOUBLE) * CASE WHEN label < 5 THEN 255 ELSE 1 END)"

@@ -171,7 +171,7 @@ def c6_cluster_means(spark: SparkSession, sf: str) -> DataFrame:
 def c7_kmeans_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """k-means of unit rows with as many clusters as labels, against the labels."""
     v = vectors(spark, sf)
-    found, _ = clustering.kmeans(v, clustering.default_k(v), 50, 2)
+    found, _ = clustering.kmeans(v, clustering.default_k(v))
     return metrics.evaluate(v.join(found, "id").select("label", F.col("cluster").alias("pred"))).withColumn("value", r6("value"))
 
 
@@ -183,13 +183,13 @@ def _named(found: DataFrame) -> DataFrame:
 @query()
 def c8_spectral(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return _named(clustering.spectral_clustering(v, graphs.rbf_affinity(v, 0.5), 10, redo=2))
+    return _named(clustering.spectral_clustering(v, graphs.rbf_affinity(v, 0.5), 10))
 
 
 @query()
 def c10_spectral_knn(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return _named(clustering.spectral_clustering(v, graphs.mutual_knn(v, 15, 0.5), 10, redo=2))
+    return _named(clustering.spectral_clustering(v, graphs.mutual_knn(v, 15, 0.5), 10))
 
 
 @query()

@@ -11,7 +11,7 @@ from vecloom.operators import clustering, diffusion, features, graphs, losses, m
 from vecloom.plans import catalog
 from vecloom.plans.graphs import lloyd_sql
 from vecloom.plans.registry import BASE, long, means_sql, out6, query, r6, topk_sql
-from vecloom.sources.tables import nouns, vectors
+from vecloom.sources.tables import nouns, table, vectors
 
 # Centres: the means of the labels, to unit length.
 _C = means_sql("c", "u", "label")
@@ -23,19 +23,19 @@ def _centres(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.cluster_means(vectors(spark, sf).select(F.col("label").alias("cluster"), "x"), 10)
 
 
-_RULES = [(d.name, n, k) for d in catalog.DATASETS for n, k in ((1000, 10), (50_000, 100))]
+_OWN = [(d.name, v) for d in catalog.DATASETS if (v := retrieval.SEMANTIC_CLUSTERS.get(catalog.token(d.name))) is not None]
+_NAMES = [d.name for d in catalog.DATASETS]
 
 
-def _rules_sql() -> str:
-    rows = ", ".join(f"('{name}', {n}, {k}, {v if (v := retrieval.SEMANTIC_CLUSTERS.get(catalog.token(name))) is not None else 'NULL'})" for name, n, k in _RULES)
-    return f"""SELECT name, n, k, (CASE WHEN v IS NOT NULL THEN greatest(v, k) WHEN n / k < 300 THEN 3 * k ELSE greatest(round_even(n / 300, 0), k) END)::INTEGER AS clusters,
-CASE WHEN v IS NOT NULL THEN 'official_default' ELSE 'size_heuristic' END AS source FROM (VALUES {rows}) t(name, n, k, v)"""
-
-
-@query(_rules_sql())
+@query(f"""WITH r AS (SELECT p_partkey AS id, list_extract([{', '.join(f"'{n}'" for n in _NAMES)}], (p_partkey % {len(_NAMES)} + 1)::INTEGER) AS name, (p_partkey * 7919 % 60000 + 100)::INTEGER AS n, (p_size * 4)::INTEGER AS k FROM part),
+o AS (SELECT r.*, v FROM r LEFT JOIN (VALUES {', '.join(f"('{n}', {v})" for n, v in _OWN)}) t(name, v) USING (name))
+SELECT id, name, n, k, (CASE WHEN v IS NOT NULL THEN greatest(v, k) WHEN n / k < 300 THEN 3 * k ELSE greatest(round_even(n / 300, 0), k) END)::INTEGER AS clusters,
+CASE WHEN v IS NOT NULL THEN 'official_default' ELSE 'size_heuristic' END AS source FROM o""")
 def l1_semantic_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(name, n, k, *retrieval.semantic_clusters(name, n, k, 300)) for name, n, k in _RULES]
-    return spark.createDataFrame(rows, "name string, n int, k int, clusters int, source string")
+    """The number of noun clusters for a dataset, a number of rows and one of clusters that each part gives."""
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), (F.col("p_partkey") * 7919 % 60000 + 100).cast("int").alias("n"), (F.col("p_size") * 4).cast("int").alias("k"))
+    return rows.select("*", retrieval.semantic_clusters_columns(F.col("name"), F.col("n"), F.col("k"), 300).alias("found")).select("id", "name", "n", "k", "found.*")
 
 
 @query(
@@ -145,10 +145,12 @@ def l11_gradient_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return _language(v, retrieval.gradient_nouns(_centres(spark, sf), n, 5), n)
 
 
-@query("SELECT k, COALESCE(e, v, 3 * k)::INTEGER AS clusters FROM (VALUES (10, NULL::INTEGER, NULL::INTEGER), (20, 43, NULL), (100, 43, 7)) t(k, v, e)")
+@query("SELECT p_partkey AS id, p_size::INTEGER AS k, COALESCE(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 50 + 1 END, CASE WHEN p_partkey % 5 = 0 THEN 43 END, 3 * p_size)::INTEGER AS clusters FROM part")
 def l12_filter_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(k, retrieval.filter_clusters(v, k, e)) for k, v, e in ((10, None, None), (20, 43, None), (100, 43, 7))]
-    return spark.createDataFrame(rows, "k int, clusters int")
+    """The number of filter clusters: what a third of the parts set, what a fifth have as a default, else three times k."""
+    key = F.col("p_partkey")
+    own, default = F.when(key % 3 == 0, key % 50 + 1), F.when(key % 5 == 0, F.lit(43))
+    return table(spark, sf, "part").select(key.alias("id"), F.col("p_size").cast("int").alias("k"), retrieval.filter_clusters_column(default, F.col("p_size"), own).alias("clusters"))
 
 
 _HARD = f"{_C}, q AS (SELECT label AS id, x FROM c),{topk_sql('h2', 'u', 'q', 2)}, hard AS (SELECT i AS id, ln(greatest(1 - max(score) + min(score), 1e-8)) AS value FROM h2 GROUP BY i)"
@@ -197,7 +199,7 @@ def i4_simulated_feedback(spark: SparkSession, sf: str) -> DataFrame:
 def i6_interactive_clusters(spark: SparkSession, sf: str) -> DataFrame:
     from vecloom import pipelines
 
-    return pipelines.interactive(vectors(spark, sf), 10, 40, 10, 3, 1, redo=1, iterations=20, rounds=5)
+    return pipelines.interactive(vectors(spark, sf), 10)
 
 
 @query()
@@ -205,7 +207,7 @@ def h4_scan_heads(spark: SparkSession, sf: str) -> DataFrame:
     """Three linear heads over neighbours; the one of the least loss is the main one."""
     from vecloom import pipelines
 
-    return pipelines.scan_predictions(vectors(spark, sf), 10, heads=2, rounds=5)
+    return pipelines.scan_predictions(vectors(spark, sf), 10)
 
 
 @query()
@@ -213,7 +215,7 @@ def h5_semantic_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """A linear head on pseudo-labels of adjusted text centres."""
     from vecloom import pipelines
 
-    return pipelines.run("sic", vectors(spark, sf), 10, nouns(spark, sf), redo=1, iterations=20, rounds=5, updates=2)
+    return pipelines.run("sic", vectors(spark, sf), 10, nouns(spark, sf))
 
 
 _CONF = f"{_C}, sc AS (SELECT u.id, u.label, list(list_dot_product(u.x, c.x) ORDER BY c.label) AS s FROM u, c GROUP BY u.id, u.label), pr AS (SELECT id, label, list_transform(s, lambda v: exp(10 * v)) AS e FROM sc), cf AS (SELECT id, (CASE WHEN id % 3 = 0 THEN label ELSE -1 END)::INTEGER AS label, (list_position(e, list_max(e)) - 1)::INTEGER AS pred, list_max(e) / list_sum(e) AS confidence FROM pr)"
@@ -299,7 +301,7 @@ def d8_diffused_clusters(spark: SparkSession, sf: str) -> DataFrame:
     n = retrieval.candidate_nouns(_centres(spark, sf), nouns(spark, sf), 10)
     kernel = graphs.pruned(diffusion.kernel(v, n, 0.5), 8)
     fused, _ = diffusion.diffuse(v, [graphs.transition(graphs.max_symmetric(kernel)), _transition(v)])
-    return clustering.spectral_clustering(v, graphs.pruned(fused, 30), 10, redo=2)
+    return clustering.spectral_clustering(v, graphs.pruned(fused, 30), 10)
 
 
 @query()
@@ -321,7 +323,7 @@ def d7_guarded_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def r1_matching_pursuit(spark: SparkSession, sf: str) -> DataFrame:
-    return subspace.omp(vectors(spark, sf), 5).withColumn("w", r6("w"))
+    return subspace.omp(vectors(spark, sf)).withColumn("w", r6("w"))
 
 
 @query(f"WITH {BASE}, a AS (SELECT p.id AS i, q.id AS j, row_number() OVER (PARTITION BY p.id ORDER BY round(abs(list_dot_product(p.x, q.x)), 10) DESC, q.id) AS r, list_dot_product(p.x, q.x) / list_dot_product(q.x, q.x) AS w FROM u p, u q WHERE p.id <> q.id) SELECT i, j, {out6('w')} AS w FROM a WHERE r = 1")
@@ -331,19 +333,19 @@ def r1_first_atom(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def r3_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
-    return subspace.elastic_net(vectors(spark, sf), 5.0, 10).withColumn("w", r6("w"))
+    return subspace.elastic_net(vectors(spark, sf)).withColumn("w", r6("w"))
 
 
 @query()
 def r4_subspace_clusters_omp(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return clustering.spectral_clustering(v, graphs.representation_affinity(subspace.omp(v, 5)), 10, redo=2)
+    return clustering.spectral_clustering(v, graphs.representation_affinity(subspace.omp(v)), 10)
 
 
 @query()
 def r5_subspace_clusters_elastic(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    return clustering.spectral_clustering(v, graphs.representation_affinity(subspace.elastic_net(v, 5.0, 10)), 10, redo=2)
+    return clustering.spectral_clustering(v, graphs.representation_affinity(subspace.elastic_net(v)), 10)
 
 
 # Soft assignments of the losses: softmax of ten times the similarity to the centres, of rows (a) and of nouns (b).
@@ -382,11 +384,11 @@ def h1_distillation_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h1_trained_heads(spark: SparkSession, sf: str) -> DataFrame:
-    """Two linear heads from the centres, 8 rounds over rows and their retrieved text: id, cluster."""
+    """Two linear heads from the centres over rows and their retrieved text: id, cluster."""
     v = vectors(spark, sf)
     text = retrieval.soft_retrieval(v, nouns(spark, sf), 0.05).withColumnRenamed("x", "y")
     w, b = losses.linear_head(np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()]), 5.0)
-    heads, _ = losses.fit_two_heads(v.join(text, "id"), 10, 8, start=(w, b, w, b))
+    heads, _ = losses.fit_two_heads(v.join(text, "id"), 10, start=(w, b, w, b))
     return losses.predicted(v, heads[0], heads[1])
 
 
@@ -410,31 +412,31 @@ def h4_neighbour_consistency_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def h2_aligned_heads(spark: SparkSession, sf: str) -> DataFrame:
-    """Two linear heads from the centres, 5 rounds under the alignment loss: id, cluster."""
+    """Two linear heads from the centres under the alignment loss: id, cluster."""
     v = vectors(spark, sf)
     text = retrieval.soft_retrieval(v, nouns(spark, sf), 0.05).withColumnRenamed("x", "y")
     w, b = losses.linear_head(np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()]), 5.0)
-    heads, _ = losses.fit_two_heads(v.join(text, "id"), 10, 5, start=(w, b, w, b), beta=0.5)
+    heads, _ = losses.fit_two_heads(v.join(text, "id"), 10, start=(w, b, w, b), beta=0.5)
     return losses.predicted(v, heads[0], heads[1])
 
 
 @query()
 def h6_taught_head(spark: SparkSession, sf: str) -> DataFrame:
-    """A teacher from the centres, 5 rounds of its student over row and neighbour: id, cluster."""
+    """A teacher from the centres, and its student over row and neighbour: id, cluster."""
     v = vectors(spark, sf)
     near = neighbors.gather(neighbors.without_self(v, 1), v).select(F.col("i").alias("id"), F.col("x").alias("y"))
     c = np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()])
-    w, b, _ = losses.fit_taught_head(v.join(near, "id"), losses.linear_head(c, 5.0), 5)
+    w, b, _ = losses.fit_taught_head(v.join(near, "id"), losses.linear_head(c, 5.0))
     return losses.predicted(v, w, b)
 
 
 @query()
 def h4_trained_linear_head(spark: SparkSession, sf: str) -> DataFrame:
-    """A linear head, from the centres, after 10 rounds over row and neighbour: id, cluster."""
+    """A linear head, from the centres, over row and neighbour: id, cluster."""
     v = vectors(spark, sf)
     near = neighbors.gather(neighbors.without_self(v, 1), v).select(F.col("i").alias("id"), F.col("x").alias("y"))
     c = np.array([r.x for r in _centres(spark, sf).orderBy("cluster").collect()])
-    w, b, _ = losses.fit_scan_head(v.join(near, "id"), losses.linear_head(c), 10)
+    w, b, _ = losses.fit_scan_head(v.join(near, "id"), losses.linear_head(c))
     return losses.predicted(v, w, b)
 
 
