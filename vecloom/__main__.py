@@ -23,6 +23,7 @@ def run(config: str, items: list[str], data: str, dry: bool) -> dict:
     from vecloom import config as c
     from vecloom import pipelines
     from vecloom.operators import metrics
+    from vecloom.progress import Progress
     from vecloom.sources import files, tables
 
     e = c.experiment(Path(config).read_text(), items, Path(config).stem)
@@ -34,14 +35,26 @@ def run(config: str, items: list[str], data: str, dry: bool) -> dict:
     n = e.image_dataset.max_samples
     rows = rows if n is None else rows.orderBy("id").limit(n)
     k = int(e.params.get("clusters") or rows.select("label").distinct().count())
-    found = pipelines.run(e.method, rows, k, tables.nouns(spark, data), **c.seeded(e.params, e.seed)).persist()
     out = f"{e.output_dir}/trials/{plan['trial']}"
-    files.write_predictions(found.select("id", F.lit("main").alias("head"), "cluster"), f"{out}/predictions")
-    met = rows.join(found.withColumnRenamed("cluster", "pred"), "id")
-    table = metrics.evaluate_internal(met, sample=e.silhouette_sample_size, metric=e.silhouette_metric) if e.internal_metrics_only else metrics.evaluate(met.select("label", "pred"), e.metrics)
+    params = c.seeded(e.params, e.seed)
+    if c.keeps_checkpoints(e.image_dataset.name) and params.get("save_checkpoint"):
+        params = {"checkpoints": f"{Path(out).resolve()}/checkpoints"} | params
+    with Progress(spark) as progress:
+        found = pipelines.predictions(e.method, rows, k, tables.nouns(spark, data), **params | {"log": progress.epoch}).persist()
+        files.write_predictions(found, f"{out}/predictions")
+
+    def measured(head: str) -> dict:
+        met = rows.join(found.where(F.col("head") == head).select("id", F.col("cluster").alias("pred")), "id")
+        if e.internal_metrics_only:
+            table = metrics.evaluate_internal(met, sample=e.silhouette_sample_size, metric=e.silhouette_metric)
+        else:
+            table = metrics.evaluate(met.select("label", "pred"), e.metrics)
+        return {r.metric: r.value for r in table.collect()}
+
+    by_head = {r["head"]: measured(r["head"]) for r in found.select("head").distinct().collect()}  # a row a head
     # Of this process, the driver: executors report their own to the cluster.
     peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
-    report = plan | {"metrics": {r.metric: r.value for r in table.collect()}}
+    report = plan | {"metrics": by_head.pop("main")} | ({"extra_heads": by_head} if by_head else {})
     if c.keeps_checkpoints(e.image_dataset.name):
         report |= {"seconds": round(time.time() - began, 3), "driver_peak_mb": round(peak, 1)}
     Path(out).mkdir(parents=True, exist_ok=True)
