@@ -64,7 +64,7 @@ def test_lookalikes_are_told_apart():
     assert found("Released under the Apache License") == set() == found("Released under the BSD License.")
     assert found("Licensed under the Apache License, Version 1.1.") == set()
     assert found("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0/line"}
-    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == set()
+    assert found("This work is licensed under the GNU Lesser General Public License, version 3.") == {"LGPL-3.0/line"}
     for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"):
         assert found(licenses.TEMPLATES[f"{name}/notice"]) == {f"{name}/notice"}
     for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"):
@@ -122,3 +122,19 @@ def test_table(docs, spark):
     assert licenses.scan(docs([])).count() == 0
     clash = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, matches int")
     assert licenses.scan(clash).columns == ["doc_id", "n_matches", "licenses", "matches"]
+
+
+def test_lines_of_identifiers_and_of_several_licenses():
+    from vecloom.llm.licenses import IDENTIFIERS, TEMPLATES, Scanner
+
+    scanner = Scanner(TEMPLATES)
+    names = lambda text: {n for n, *_ in scanner.find(text)}
+    for name in IDENTIFIERS:
+        assert names(f"some words // SPDX-License-Identifier: {name}\nint main()") == {f"{name}/spdx"}
+    assert names("# SPDX-License-Identifier: MIT OR Apache-2.0") == {"MIT/spdx", "Apache-2.0/spdx"}
+    assert names("Dual licensed under MIT or Apache-2.0.") == {"MIT OR Apache-2.0/line"}
+    assert names("This library is licensed under the GNU Lesser General Public License, version 3.") == {"LGPL-3.0/line"}
+    assert names("This library is licensed under the GNU Lesser General Public License, version 2.1.") == {"LGPL-2.1/line"}
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == {"AGPL-3.0/line"}
+    assert names("This work is licensed under the GNU General Public License, version 3.") == {"GPL-3.0/line"}
+    assert names("identifier of a license MIT, and MIT again; GPL-2.0-only as a word") == set()

@@ -76,6 +76,10 @@ TEMPLATES = {
     "LGPL-3.0/notice": _GNU.format(thing="library", name="Lesser General Public License", version="3"),
     "LGPL-2.1/notice": _GNU.format(thing="library", name="Lesser General Public License", version="2.1"),
     "AGPL-3.0/notice": _GNU.format(thing="program", name="Affero General Public License", version="3"),
+    "LGPL-3.0/line": "This library is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1/line": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0/line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MIT OR Apache-2.0/line": "Dual licensed under MIT or Apache-2.0.",
     "CC-BY-NC-4.0/line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0/line": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0/line": "Licensed under CC BY 4.0.",
@@ -83,12 +87,20 @@ TEMPLATES = {
     "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }
+# Identifiers of licenses as machine-readable lines name them.
+IDENTIFIERS = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
+).split()
+# An identifier is two words with the name before it; within an expression of several it stands two words on.
+TEMPLATES |= {f"{name}/spdx": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
 #: Words that tell a license from its likes: a match needs all of the first, aligned, and none of the second within it.
 TELLING = {
     "Apache-2.0/line": ("apache 2.0", ""), "Apache-2.0/notice": ("apache 2.0", ""), "MIT/line": ("mit", ""), "BSL-1.0/grant": ("organization", ""), "MPL-2.0/notice": ("mozilla 2.0", ""),
     "GPL-3.0/line": ("general 3", "lesser library affero 2"), "GPL-2.0/line": ("general 2", "lesser library affero 3"),
     "GPL-3.0/notice": ("general 3", "lesser affero 2 2.1"), "GPL-2.0/notice": ("general 2", "lesser affero 3 2.1"),
     "LGPL-3.0/notice": ("lesser 3", "2.1 2"), "LGPL-2.1/notice": ("lesser 2.1", "3"), "AGPL-3.0/notice": ("affero 3", ""),
+    "LGPL-3.0/line": ("lesser 3", "affero 2 2.1"), "LGPL-2.1/line": ("lesser 2.1", "affero 3"), "AGPL-3.0/line": ("affero 3", "lesser"), "MIT OR Apache-2.0/line": ("mit apache-2.0", ""),
     "CC-BY-NC-4.0/line": ("by-nc 4.0", ""), "CC-BY-SA-4.0/line": ("by-sa 4.0", ""), "CC-BY-4.0/line": ("cc by 4.0", ""),
     "CC-BY-4.0/notice": ("attribution 4.0", ""), "CC-BY-SA-4.0/notice": ("attribution-sharealike 4.0", ""), "CC-BY-NC-4.0/notice": ("attribution-noncommercial 4.0", ""),
 }
