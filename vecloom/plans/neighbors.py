@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators import metrics, neighbors
+from vecloom.operators.blocks import BLOCK
 from vecloom.plans.registry import BASE, means_sql, out6, query, r6, topk_sql
 from vecloom.sources.tables import nouns, vectors
 
@@ -52,9 +53,9 @@ def k5_short_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BASE},{topk_sql('k', 'n', 'u', 7)} {_SHOW}")
 def k6_top_k_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The way of a large index: blocks of both sides meet and partial bests are merged."""
+    """The way of a large index: it passes by in blocks from the shared folder, while each task holds the bests of its queries."""
     v = vectors(spark, sf)
-    return _shown(neighbors.top_k(nouns(spark, sf), v, 7, block=max(256, v.count() // 3), broadcast_numbers=0))
+    return _shown(neighbors.top_k(nouns(spark, sf), v, 7, block=min(max(256, v.count() // 3), BLOCK), broadcast_numbers=0))
 
 
 @query(
