@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import dot, mean_vector, squared_distance, sum_vector
+from vecloom.operators.blocks import BLOCK, BROADCAST_NUMBERS, Blocks, meet, pieces, source
 
 EXTERNAL = ("nmi", "ari", "acc")
 INTERNAL = ("sil", "dbi", "chi")
@@ -122,38 +126,41 @@ def _clusters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pred").agg(mean_vector("x").alias("c"), sum_vector("x").alias("s"), F.count(F.lit(1)).alias("m"))
 
 
-def _euclidean_sums(rows: DataFrame, block: int = 4096, most: int = 200_000) -> DataFrame:
+def _euclidean_sums(rows: DataFrame, block: int = BLOCK, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """id, pred, other, t, m: the sum of the distances of each row to the rows of each cluster, and their number.
 
-    A block of rows meets a block of the others in one matrix product and leaves
-    a number a row and cluster.  The work is the square of the rows by its
-    meaning, so more than ``most`` rows are refused; ask for a sample then.
+    Rows meet the table in passing blocks and keep a number a cluster.  The work
+    is the square of the rows by its meaning.
     """
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"the Euclidean silhouette of {n} rows is refused; ask for a sample")
-    blocks = max(1, -(-n // block))
-    own = rows.select("id", "pred", "x", F.pmod(F.xxhash64("id"), F.lit(4 * blocks)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    others = rows.select(F.col("pred").alias("other"), "x", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4 * blocks - 1).cast("long"))).alias("a"))
-    kinds = [r.pred for r in rows.select("pred").distinct().collect()]  # a row a cluster
-
-    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "pred": [], "other": [], "t": [], "m": []}
-        if len(p) and len(q):
-            x, y = np.array(p["x"].tolist()), np.array(q["x"].tolist())
-            d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1)[None], 0))
-            # A row's distance to itself is nothing, whatever rounding leaves.
-            d[d < 1e-7] = 0
-            for k in kinds:
-                at = (q["other"] == k).to_numpy()
-                if at.any():
-                    for name, value in (("id", p["id"]), ("pred", p["pred"]), ("other", [k] * len(p)), ("t", d[:, at].sum(axis=1)), ("m", [int(at.sum())] * len(p))):
-                        out[name].extend(value)
-        return pd.DataFrame(out)
-
-    kind = rows.schema["pred"].dataType.simpleString()
-    parts = own.groupBy("a", "b").cogroup(others.groupBy("a", "b")).applyInPandas(meet, f"id {rows.schema['id'].dataType.simpleString()}, pred {kind}, other {kind}, t double, m long")
-    return parts.groupBy("id", "pred", "other").agg(F.sum("t").alias("t"), F.sum("m").alias("m"))
+    sizes = rows.groupBy("pred").agg(F.count(F.lit(1)).alias("m")).collect()  # a row a cluster
+    kind, k = rows.schema["pred"].dataType.simpleString(), len(sizes)
+    codes = rows.sparkSession.createDataFrame([(r.pred, code, r.m) for code, r in enumerate(sizes)], f"other {kind}, code long, m long")
+    coded = rows.join(F.broadcast(codes) if k <= 100_000 else codes, F.col("pred").eqNullSafe(F.col("other")))
+    passing = source(coded.select(F.col("code").alias("id"), "x"), block, broadcast_numbers)
+
+    def work(found: pa.RecordBatch, _: np.ndarray, x: np.ndarray, blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        sums, size = np.zeros((len(x), k)), (x * x).sum(axis=1)
+        for at_y, y in blocks():
+            # Rows of one cluster stand together, so their distances are added up by stretches.
+            order = np.argsort(at_y, kind="stable")
+            at_y, y = at_y[order], y[order]
+            here, start = np.unique(at_y, return_index=True)
+            size_y = (y * y).sum(axis=1)
+            for at in pieces(len(x), len(y)):
+                d = x[at] @ y.T
+                d *= -2
+                d += size[at][:, None]
+                d += size_y[None]
+                np.maximum(d, 0, out=d)
+                np.sqrt(d, out=d)
+                # A row's distance to itself is nothing, whatever rounding leaves.
+                d[d < 1e-7] = 0
+                sums[at, here] += np.add.reduceat(d, start, axis=1)
+        yield pa.RecordBatch.from_arrays([found.column(0), found.column(2), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["id", "pred", "t"])
+
+    met = meet(rows.select("id", "x", "pred"), passing, work, f"id {rows.schema['id'].dataType.simpleString()}, pred {kind}, t array<double>", block)
+    each = met.select("id", "pred", F.posexplode("t").alias("code", "t"))
+    return each.join(F.broadcast(codes) if k <= 100_000 else codes, "code").select("id", "pred", "other", "t", "m")
 
 
 def silhouette(rows: DataFrame, metric: str = "cosine", sample: int | None = None, seed: int = 42, broadcast_rows: int = 100_000) -> DataFrame:
