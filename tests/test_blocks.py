@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from vecloom.operators import blocks, diffusion, graphs, metrics, neighbors, retrieval
+from vecloom.operators import blocks, diffusion, graphs, metrics, neighbors, retrieval, subspace
 
 WAYS = ({"broadcast_numbers": 0, "block": 7}, {})
 
@@ -107,3 +107,21 @@ def test_euclidean_sums_by_cluster(spark, some, way):
     d = np.linalg.norm(some[:, None] - some[None], axis=2)
     got = {(r.id, r.pred, r.other): (r.t, r.m) for r in metrics._euclidean_sums(rows, **way).collect()}
     assert got == {(i, i % 3, k): (pytest.approx(d[i, k::3].sum(), abs=1e-6), 20) for i in range(60) for k in range(3)}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_pursuit_in_passing_blocks(spark, table, some, way):
+    got = {}
+    for r in subspace.omp(table(some), 3, **way).collect():
+        got.setdefault(r.i, {})[r.j] = r.w
+    for i, y in enumerate(some):
+        rest, atoms = y, []
+        for _ in range(3):
+            s = np.round(np.abs(some @ rest), 12)
+            s[i] = -1
+            atoms.append(int(s.argmax()))
+            w = np.linalg.pinv(some[atoms] @ some[atoms].T, hermitian=True) @ (some[atoms] @ y)
+            rest = y - w @ some[atoms]
+            if rest @ rest < 1e-6:
+                break
+        assert got[i] == {a: pytest.approx(c, abs=1e-8) for a, c in zip(atoms, w)}
