@@ -87,6 +87,19 @@ def test_one_band_alone_links_a_crowd(spark):
     assert media.links(spots).count() <= 60 * media.REPS
 
 
+def test_exact_links_of_a_crowd(spark, monkeypatch):
+    """Images of a crowd whose corners agree in a single band are all linked, as by a loop over all pairs; references leave links out."""
+    monkeypatch.setattr(media, "SPREAD", 16)
+    rows = []
+    for i in range(60):
+        for c in range(8):
+            rows.append((i, 10.0 * c, 7.0 * c * c, 1.0, 0.0, [1000 + c] + [10**6 * i + 100 * c + b for b in range(1, 8)]))
+    spots = spark.createDataFrame(rows, "id long, x double, y double, scale double, angle double, bands array<bigint>")
+    exact = {(r.a, r.b) for r in media.links(spots, exact=True).collect()}
+    assert exact == slow_links(spots.collect(), media.VOTES) and len(exact) == 60 * 59 // 2
+    assert media.links(spots).count() < len(exact)
+
+
 def test_corners_follow_the_area():
     """A crop keeps the corners of its part, and a large picture has more of them."""
     rng = np.random.default_rng(5)

@@ -12,7 +12,9 @@ classes.
 Corners of a key that few share all meet.  Those of a crowded key meet REPS
 reference images of the key, drawn by hashes of the ids, so that images that
 share many keys meet the same references and their votes add up.  So a group of
-copies, however large, costs a fixed number of meetings a corner.
+copies, however large, costs a fixed number of meetings a corner.  On request
+(``exact``) those of a crowded key all meet too, dealt to many tasks, and no link
+is lost; a crowd then costs the square of its size.
 
 Images that are byte for byte the same collapse before any of this.
 """
@@ -42,6 +44,8 @@ BIN = 8
 #: Corners of a key that all meet, and reference images of a key that more share.
 COMMON = 24
 REPS = 8
+#: Corners of a crowded key on one side of a task's join, where all meet.
+SPREAD = 256
 
 _rng = np.random.default_rng(20)
 #: The binary tests: two points each, spread evenly over the patch's disc, so that tests say different things.
@@ -167,6 +171,14 @@ def _pairs(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
     return left.join(right, keys).where("id_a < id_b").drop(*keys)
 
 
+def _spread_pairs(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """:func:`_pairs` of crowded keys of ``n`` corners: about SPREAD of them at a time meet all others, so no key is one task's."""
+    parts = F.ceil(F.col("n") / SPREAD).cast("int")
+    left = rows.select(*keys, F.pmod(F.xxhash64(*place), parts).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in place))
+    right = rows.select(*keys, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in place))
+    return left.join(right, [*keys, "part"]).where("id_a < id_b").drop(*keys, "part")
+
+
 def _to_references(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
     """Pairs of each corner with REPS reference corners of its keys; the image of the least hash under each salt gives one."""
     least = [F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("hash"), *place)).alias(f"r{s}") for s in range(REPS)]
@@ -178,11 +190,11 @@ def _to_references(rows: DataFrame, keys: list[str], place: list[str]) -> DataFr
     return met.where(F.col("id") != F.col("rep.id")).select(*ends)
 
 
-def links(spots: DataFrame, votes: int = VOTES, common: int = COMMON) -> DataFrame:
+def links(spots: DataFrame, votes: int = VOTES, common: int = COMMON, exact: bool = False) -> DataFrame:
     """Links (a, b), a < b, between images whose corners (as :func:`corners` gives them) agree on one geometry.
 
     All corners of a key that ``common`` at most share meet; those of a key that
-    more share meet its references.
+    more share meet its references or, if ``exact``, all others as well.
     """
     place = ["id", "x", "y", "scale", "angle"]
     keyed = spots.select(*place, F.posexplode("bands").alias("band", "bits"))
@@ -190,8 +202,8 @@ def links(spots: DataFrame, votes: int = VOTES, common: int = COMMON) -> DataFra
     sizes = stored(spots.select(F.posexplode("bands").alias("band", "bits")).groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     keys = ["band", "bits"]
     held = stored(keyed.join(small(sizes, sizes.count()), keys), "corners")
-    few, crowd = held.where(F.col("n") <= common), held.where(F.col("n") > common).drop("n")
-    met = _pairs(few, keys, place).unionByName(_to_references(crowd, keys, place))
+    few, crowd = held.where(F.col("n") <= common), held.where(F.col("n") > common)
+    met = _pairs(few, keys, place).unionByName(_spread_pairs(crowd, keys, place) if exact else _to_references(crowd.drop("n"), keys, place))
     both = met.distinct()
     # The turn and scale of one meeting fix the shift; votes go to two overlapping grids, so no agreement is split by an edge of both.
     turn, size = F.col("angle_b") - F.col("angle_a"), F.col("scale_b") / F.col("scale_a")
@@ -204,12 +216,12 @@ def links(spots: DataFrame, votes: int = VOTES, common: int = COMMON) -> DataFra
     return agreed.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
+def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image", exact: bool = False) -> DataFrame:
     """One row for each row of ``media``: id, image_sha256, class_id, n_links.
 
     ``class_id`` is the smallest id that an image reaches over equal bytes and
     links, ``n_links`` the links found of its picture to different pictures (in a
-    crowd, those to references).  Null, broken, tiny and plain pictures have no
+    crowd, those to references unless ``exact``).  Null, broken, tiny and plain pictures have no
     corners and so are alone with their equal bytes; null images are one class.
     Pictures, not ids, are compared: an id that several rows share may stand for
     several pictures, and class_id is null where all ids of a class are.  Large
@@ -221,7 +233,7 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
     # Equal pictures have equal corners, so any row of a picture stands for it; its number is a hash of its bytes.
     pictures = rows.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("geometry").alias("geometry"), F.first("bands").alias("bands"))
     pictures = stored(pictures.withColumn("node", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")), "pictures")
-    found = stored(links(corners(pictures.select(F.col("node").alias("id"), "geometry", "bands"))), "links")
+    found = stored(links(corners(pictures.select(F.col("node").alias("id"), "geometry", "bands")), exact=exact), "links")
     roots = components(found).select(F.col("node").alias("of"), "root")
     degree = found.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("n_links"))
     placed = pictures.select("sha", "least", "n", "node").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("root", "node"))

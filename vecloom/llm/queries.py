@@ -34,7 +34,7 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_descriptor_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies among the pictures that all embeddings draw; each tenth has an edited copy."""
     bounded_batches(spark)
-    return media.find_copies(media.drawn_media(table(spark, sf_dir, "embeddings")))
+    return media.find_copies(media.drawn_media(table(spark, sf_dir, "embeddings")), exact=True)
 
 
 def op5_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
