@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions.ordinal import cut_lineage
 from vecloom.functions.vectors import dot, mean_vector, squared_distance, sum_vector
 from vecloom.operators.blocks import BLOCK, BROADCAST_NUMBERS, Blocks, meet, pieces, source
 
@@ -81,7 +82,7 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 def matching(rows: DataFrame, most_cells: int = 4_000_000) -> dict[int, int]:
     """label of each matched pred under the one-to-one matching of most rows; the contingency table reaches the driver if it is small."""
-    cells = contingency(rows)
+    cells = cut_lineage(contingency(rows))  # read three times
     labels, preds = ([r[0] for r in cells.select(c).distinct().orderBy(c).collect()] for c in ("label", "pred"))
     if len(labels) * len(preds) > most_cells:
         raise ValueError("too many labels and clusters for a matching")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.ordinal import with_ordinal
+from vecloom.functions.ordinal import cut_lineage, with_ordinal
+from vecloom.operators.blocks import matrix
 from vecloom.operators.metrics import matching
 from vecloom.operators.neighbors import density, top_k
 
@@ -21,7 +24,8 @@ def hardness(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def z_score(values: DataFrame) -> DataFrame:
-    """id, value less its mean over its sample deviation + 1e-8.  Two numbers are broadcast."""
+    """id, value less its mean over its sample deviation + 1e-8.  Two numbers are broadcast; the values are read twice, so they are kept first."""
+    values = cut_lineage(values.select("id", "value"))
     stats = values.agg(F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("s"))
     return values.crossJoin(F.broadcast(stats)).select("id", ((F.col("value") - F.col("m")) / (F.col("s") + 1e-8)).alias("value"))
 
@@ -32,26 +36,57 @@ def sample_values(rows: DataFrame, centres: DataFrame, k: int) -> DataFrame:
     return a.join(b, "id").select("id", (F.col("value") + F.col("v")).alias("value"))
 
 
-def greedy(rows: DataFrame, values: DataFrame, budget: int, most: int = 200_000) -> DataFrame:
-    """step (from 0), id: each step takes the row of largest value plus diversity.
+#: Rows of largest score that greedy selection holds on the driver.
+HELD = 4096
 
-    Diversity is ln(1 - s) (floored) to the nearest chosen row.  Steps depend on
-    each other, so the loop runs in one numpy task over the ``most`` rows of
-    largest value at most; more rows are refused.
+
+def greedy(rows: DataFrame, values: DataFrame, budget: int, most: int | None = None, held: int = HELD) -> DataFrame:
+    """step (from 0), id: each step takes the row of largest value plus diversity (to ten decimals, then the smaller id).
+
+    Diversity is ln(1 - s) (floored) to the nearest chosen row.  Once a row is
+    chosen scores only fall, so the ``held`` rows of largest score are enough as
+    long as the best of them is above the last of them when they were fetched;
+    else all rows are scored anew in one pass and others are fetched.  The
+    choice is that over all rows, whatever their number; more than ``most`` are
+    refused if that is given.
     """
-    table = rows.join(values, "id").select("id", "x", "value")
-    if table.count() > most:
-        raise ValueError(f"greedy selection is sequential and takes {most} rows at most")
-    pdf = table.orderBy("id").toPandas()
-    x, value = np.array(pdf["x"].tolist(), float), pdf["value"].to_numpy(float)
-    diversity, left, chosen = np.zeros(len(pdf)), np.ones(len(pdf), bool), []
-    for step in range(min(budget, len(pdf))):
-        at = int(np.where(left, np.round(value + diversity, 10), -np.inf).argmax())
-        chosen.append((step, int(pdf["id"][at])))
-        left[at] = False
-        fresh = np.log(np.maximum(1 - x @ x[at], 1e-8))
-        diversity = np.minimum(diversity, fresh) if step else fresh
-    return rows.sparkSession.createDataFrame(chosen, "step int, id long")
+    table = cut_lineage(rows.select("id", "x").join(values.select("id", "value"), "id"))
+    n = table.count()
+    if most is not None and n > most:
+        raise ValueError(f"greedy selection takes {most} rows at most")
+    chosen: list[int] = []
+    taken = np.zeros((0, 0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, value = matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)
+            diversity = np.log(np.maximum(1 - x @ taken.T, 1e-8)).min(axis=1) if len(taken) else np.zeros(len(x))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(diversity), pa.array(np.round(value + diversity, 10))], names=["id", "x", "value", "diversity", "score"])
+
+    def fetch() -> tuple[np.ndarray, ...]:
+        found = table.where(~F.col("id").isin(chosen)) if chosen else table
+        found = found.mapInArrow(score, "id long, x array<double>, value double, diversity double, score double")
+        pdf = found.orderBy(F.col("score").desc(), "id").limit(held).toPandas()
+        pdf = pdf.sort_values("id", kind="stable")
+        bar = pdf["score"].min() if len(pdf) + len(chosen) < n else -np.inf
+        return pdf["id"].to_numpy(), np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1 if len(pdf) else 0), pdf["value"].to_numpy(float), pdf["diversity"].to_numpy(float), bar
+
+    ids = np.zeros(0, np.int64)
+    for step in range(min(budget, n)):
+        at = -1
+        if step > 1 and len(ids):
+            now = np.round(value + diversity, 10)
+            at = int(now.argmax())
+            at = at if now[at] > bar else -1
+        if at < 0:
+            ids, x, value, diversity, bar = fetch()
+            at = int(np.round(value + diversity, 10).argmax())
+        chosen.append(int(ids[at]))
+        taken = np.vstack([taken.reshape(-1, x.shape[1]), x[at]])
+        diversity = np.minimum(diversity, np.log(np.maximum(1 - x @ x[at], 1e-8)))
+        kept = np.arange(len(ids)) != at
+        ids, x, value, diversity = ids[kept], x[kept], value[kept], diversity[kept]
+    return rows.sparkSession.createDataFrame(list(enumerate(chosen)), "step int, id long")
 
 
 def feedback(chosen: DataFrame, rows: DataFrame, centres: DataFrame, t: int) -> DataFrame:
