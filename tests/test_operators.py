@@ -580,3 +580,54 @@ def test_diffusion_step_is_read_once_by_its_symmetric_sum(spark):
     want = 0.9 * m @ m @ m.T + 0.1 * np.eye(4)
     want = (want + want.T) / 2
     assert got == {(i, j): pytest.approx(want[i, j]) for i, j in zip(*want.nonzero())}
+
+
+def test_greedy_holds_few_rows_and_chooses_over_all(table, planted, spark):
+    x, _ = planted
+    value = np.round(np.random.default_rng(6).normal(size=120), 1)  # with ties
+    values = spark.createDataFrame([(i, float(v)) for i, v in enumerate(value)], "id long, value double")
+    want, d = [], np.zeros(120)
+    for step in range(20):
+        at = int(np.where(np.isin(np.arange(120), want), -np.inf, np.round(value + d, 10)).argmax())
+        want.append(at)
+        fresh = np.log(np.maximum(1 - x @ x[at], 1e-8))
+        d = np.minimum(d, fresh) if step else fresh
+    for held in (1, 7, 500):
+        assert [r.id for r in selection.greedy(table(x), values, 20, held=held).orderBy("step").collect()] == want
+    assert len(selection.greedy(table(x[:3]), values, 20).collect()) == 3
+    assert selection.greedy(table(x[:3]), values.limit(0), 20).count() == 0
+
+
+def test_runs_of_kmeans_overlap_and_the_best_is_taken(table, planted, monkeypatch):
+    import threading
+
+    lock, now, most, plain = threading.Lock(), [0], [0], clustering.KMeans.fit
+
+    def fit(self, *args):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            return plain(self, *args)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(clustering.KMeans, "fit", fit)
+    rows = table(planted[0])
+    _, centres = clustering.kmeans(rows, 4, 5, 6)
+    assert most[0] > 1
+    cost = lambda c: -(planted[0] @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T).max(axis=1).sum()
+    assert cost(centres) <= min(cost(clustering.kmeans(rows, 4, 5, 1, seed=42 + r)[1]) for r in range(6)) + 1e-9
+
+
+def test_tf_idf_counts_only_terms_that_stay(spark):
+    rows = [(1, "aa bb bb cc x"), (2, "AA aa rare"), (3, None), (4, ""), (5, "bb cc"), (5, "bb")]
+    got = features.tf_idf(spark.createDataFrame(rows, "id long, text string"), 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counted = [at for at, line in enumerate(plan) if "Aggregate [id#" in line]
+    assert counted and all(any("Join Inner" in line for line in plan[at : at + 3]) for at in counted)
+    tf = {(1, "aa"): 1, (1, "bb"): 2, (2, "aa"): 2, (5, "bb"): 2}
+    w = {k: v * (np.log(7 / 3) + 1) for k, v in tf.items()}
+    length = {i: np.sqrt(sum(v * v for (j, _), v in w.items() if j == i)) for i, _ in w}
+    assert {(r.id, r.term): r.weight for r in got.collect()} == {k: pytest.approx(v / length[k[0]]) for k, v in w.items()}

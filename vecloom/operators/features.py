@@ -33,9 +33,13 @@ def tf_idf(docs: DataFrame, max_features: int = 512) -> DataFrame:
     stay; idf is ln((1 + n) / (1 + df)) + 1.
     """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.char_length(w) >= 2)
-    counts = docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = docs.select("id", F.explode(words).alias("term"))
     n = docs.count()
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.col("cf").desc(), "term").limit(max_features)
+    # The terms are known before documents are counted, so only those that stay are shuffled by document.
+    most = found.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).orderBy(F.col("cf").desc(), "term").limit(max_features)
+    counts = found.join(F.broadcast(most.select("term")), "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Read by its counts, so that both uses of the counts share one shuffle.
+    terms = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weighed = counts.join(F.broadcast(terms), "term").select("id", "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return weighed.select("id", "term", (F.col("w") / length).alias("weight"))
