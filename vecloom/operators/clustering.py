@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from vecloom.operators.graphs import checked_degrees, cut_lineage, degrees, dens
 
 #: Spectral embeddings of at most so many nodes are solved on the driver (a matrix of 128 MB).
 DRIVER_NODES = 4000
+#: Runs of k-means that go on at the same time.
+RUNS = 8
 #: Vectors that the block Lanczos method holds at a time.
 VECTORS = 160
 #: Nodes of a block of vectors that pass by the edges.
@@ -74,16 +78,23 @@ def lloyd(vectors: DataFrame, k: int, iterations: int, spherical: bool = False,
 
 
 def kmeans(vectors: DataFrame, k: int, iterations: int = 300, redo: int = 20, spherical: bool = True, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """The best of ``redo`` seeded runs by cost: assignments (id, cluster) and centres; rows are scaled to unit length first if ``spherical``."""
+    """The best of ``redo`` seeded runs by cost: assignments (id, cluster) and centres; rows are scaled to unit length first if ``spherical``.
+
+    Runs don't depend on each other, so RUNS of them go on at the same time; of
+    equal costs the first run's is taken.
+    """
     n = vectors.count()
     if not 0 < k <= n:
         raise ValueError(f"k must be from 1 to the number of rows ({n}), got {k}")
     table = vectors.select("id", array_to_vector(unit("x") if spherical else F.col("x")).alias("features")).persist()
-    best = None
-    for r in range(redo):
+    table.count()  # kept once, not by each run
+
+    def fitted(r: int) -> tuple[float, int, KMeansModel]:
         model = KMeans(k=k, maxIter=iterations, seed=seed + r, distanceMeasure="cosine" if spherical else "euclidean").fit(table)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+        return model.summary.trainingCost, r, model
+
+    with ThreadPool(max(1, min(redo, RUNS))) as pool:
+        *_, best = min(pool.map(inheritable_thread_target(vectors.sparkSession)(fitted), range(redo), 1), key=lambda m: m[:2])
     out = best.transform(table).select("id", F.col("prediction").alias("cluster"))
     table.unpersist()  # the assignment is one more pass, made when it is asked for
     return out, np.array(best.clusterCenters())
