@@ -631,3 +631,11 @@ def test_tf_idf_counts_only_terms_that_stay(spark):
     w = {k: v * (np.log(7 / 3) + 1) for k, v in tf.items()}
     length = {i: np.sqrt(sum(v * v for (j, _), v in w.items() if j == i)) for i, _ in w}
     assert {(r.id, r.term): r.weight for r in got.collect()} == {k: pytest.approx(v / length[k[0]]) for k, v in w.items()}
+
+
+def test_scan_head_makes_its_pairs_once(spark, planted):
+    x = planted[0]
+    rows = spark.createDataFrame([([float(e) for e in a], [float(e) for e in b]) for a, b in zip(x, x[::-1])], "x array<double>, y array<double>")
+    seen, read = counted(rows)
+    losses.fit_scan_head(seen, losses.linear_head(x[::30]), rounds=2)
+    assert read.value == 120
