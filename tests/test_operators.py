@@ -496,6 +496,32 @@ def test_paths_equal_coordinate_descent(table):
             subspace.elastic_net(table(x), **bad)
 
 
+@pytest.mark.parametrize("tau", [1.0, 0.7])
+def test_elastic_net_of_passing_atoms_is_that_over_all(table, monkeypatch, tau):
+    rng = np.random.default_rng(27)
+    x = rng.normal(size=(300, 12))
+    x[:40] = x[40:80] + 1e-3 * rng.normal(size=(40, 12))  # near copies
+    x[80:90] = x[90]  # equal atoms
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(subspace, "MOST_NUMBERS", 1000)  # such a table was refused
+    i, j, w = subspace.elastic(x, np.arange(300), 20.0, 300, True, tau=tau)
+    whole = np.zeros((300, 300))
+    whole[i, j] = w
+    for sizes in ({"broadcast_numbers": 0}, {"block": 7}):
+        got = np.zeros((300, 300))
+        for r in subspace.elastic_net(table(x), 20.0, 300, tau=tau, **sizes).collect():
+            got[r.i, r.j] = r.w
+        assert np.allclose(got @ x, whole @ x, atol=1e-8) and np.allclose(np.abs(got).sum(axis=1), np.abs(whole).sum(axis=1), atol=1e-8)
+    blocks = lambda: ((np.arange(at, min(at + 70, 300)), x[at : at + 70]) for at in range(0, 300, 70))
+    few = subspace.elastic_passing(x, np.arange(300), blocks, 20.0, 300, tau=tau, first=2, more=1)
+    strong = np.abs(x @ x.T)
+    np.fill_diagonal(strong, 0)
+    alpha = strong.max(axis=1) / (tau * 20.0)
+    for at in range(300):
+        assert at not in few[1][few[0] == at]
+        assert optimality(x, at, tau * alpha[at], (1 - tau) * alpha[at], few[1][few[0] == at], few[2][few[0] == at]) < 1e-8
+
+
 def test_rows_of_a_factor_are_taken_out():
     rng = np.random.default_rng(23)
     a = rng.normal(size=(7, 9))
