@@ -595,6 +595,36 @@ def test_smoothness_makes_no_product_of_three_graphs(spark, monkeypatch):
     assert abs(diffusion.smoothness(*edges) - ((a * a).sum() - (a * (t @ a @ t.T)).sum())) < 1e-10
 
 
+@pytest.mark.parametrize("single", [False, True])
+def test_fused_graph_in_panels_is_that_of_matrices(spark, monkeypatch, single):
+    monkeypatch.setattr(diffusion, "guarded_edges", lambda _: pytest.fail("a table of all its edges"), raising=False)
+    rng = np.random.default_rng(28)
+    n, ids = 23, np.sort(rng.choice(1000, 23, False))
+    ts = []
+    for _ in range(2):
+        m = np.where(rng.random((n, n)) < 0.2, rng.random((n, n)), 0)
+        m = np.maximum(m, m.T)
+        d = 1 / np.sqrt(np.maximum(m.sum(axis=1), 1))
+        ts.append(m * d[:, None] * d)
+    if single:
+        monkeypatch.setattr(diffusion, "SINGLE_NODES", 10)
+    edges = [spark.createDataFrame([(int(ids[i]), int(ids[j]), float(m[i, j])) for i, j in zip(*m.nonzero())], "i long, j long, w double") for m in ts]
+    nodes = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    a, beta = np.eye(n), np.array([0.5, 0.5])
+    for _ in range(2):
+        alpha = beta / 1.1
+        for _ in range(3):
+            a = sum(s * t @ a @ t.T for s, t in zip(alpha, ts)) + (1 - alpha.sum()) * np.eye(n)
+        beta = np.array(diffusion.graph_weights([(a * a).sum() - (a * (t @ a @ t.T)).sum() for t in ts], 10.0))
+    for panel, nearest in ((23 * 5, None), (1000, 4)):
+        fused, weights = diffusion.diffuse(nodes, edges, outer=2, inner=3, nearest=nearest, panel=panel)
+        got, place = np.zeros((n, n)), {int(i): k for k, i in enumerate(ids)}
+        for r in fused.collect():
+            got[place[r.i], place[r.j]] = r.w
+        want = a if nearest is None else np.where(a >= np.sort(a, axis=1)[:, -nearest][:, None], a, 0)
+        assert np.allclose(got, want, atol=1e-6 if single else 1e-12) and np.allclose(weights, beta, atol=1e-6)
+
+
 def test_diffusion_step_is_read_once_by_its_symmetric_sum(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
     edges = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (2, 3, 1.0)], "i long, j long, w double")
