@@ -130,3 +130,10 @@ def test_any_other_tokenizer_gets_whole_texts(spark):
     found.encode_special_tokens = True
     texts = ["Hello  World", "a b", ""]
     assert [np.frombuffer(g, "<u4").tolist() for g in own.encode_batch(texts)] == [found.encode(t, add_special_tokens=False).ids for t in texts] and not own.by_word
+
+
+def test_words_that_hold_spaces_end_where_the_library_ends_them():
+    words = tokenfile.load()
+    texts = ["a   b  c", "one\n two \t  three,\n\n four", "  x   y ", "plain words, and more"]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in (words._start() or words.library).encode_batch(texts, add_special_tokens=False)]
+    assert words.encode_batch(texts) == whole

@@ -113,18 +113,23 @@ class Words:
     def _learn(self, words: list[str]) -> None:
         """Encode words that follow a space."""
         # White space at the end would join with the next word; such words are few.
-        joined = [w for w in words if w and not w[-1].isspace()]
+        odd = [w for w in words if not w or w[-1].isspace()]
+        joined = list(set(words).difference(odd)) if odd else words
         for at in range(0, len(joined), 20_000):
             part = joined[at : at + 20_000]
-            ids = np.frombuffer(self._whole([" " + " ".join(part)])[0], "<u4")
+            text = " " + " ".join(part)
+            ids = np.frombuffer(self._whole([text])[0], "<u4")
             reached = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([1 + len(w.encode("utf-8", "replace")) for w in part])
+            # A word ends where the next space is, unless words of mixed white space hold spaces themselves.
+            whole = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(whole == 32)[1:], len(whole))
+            if len(ends) != len(part):
+                ends = np.cumsum([1 + len(w.encode()) for w in part])
             cut = np.searchsorted(reached, ends) + 1
             if not len(ids) or cut[-1] != len(ids) or (reached[cut - 1] != ends).any():
                 raise RuntimeError("the tokenizer joins words over a space")
             raw, cut = ids.tobytes(), (4 * cut).tolist()
-            self.memo.update(zip(part, (raw[a:b] for a, b in zip([0, *cut], cut))))
-        odd = [w for w in words if not w or w[-1].isspace()]
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut))))
         self.memo.update(zip(odd, self._whole([" " + w for w in odd])))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
