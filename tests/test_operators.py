@@ -1,6 +1,8 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 from vecloom.operators import clustering, diffusion, features, graphs, losses, metrics, neighbors, retrieval, selection, subspace
@@ -625,6 +627,45 @@ def test_fused_graph_in_panels_is_that_of_matrices(spark, monkeypatch, single):
         assert np.allclose(got, want, atol=1e-6 if single else 1e-12) and np.allclose(weights, beta, atol=1e-6)
 
 
+@pytest.mark.parametrize("held", [0, 100])
+def test_fused_graph_held_by_one_task_is_that_of_panels(spark, monkeypatch, held):
+    rng = np.random.default_rng(29)
+    n = 30
+    m = np.where(rng.random((n, n)) < 0.1, rng.random((n, n)), 0)
+    m[0, 3:25] = 0.5  # a row of many edges, and one of none
+    m = np.maximum(m, m.T)
+    m[7], m[:, 7] = 0, 0
+    d = 1 / np.sqrt(np.maximum(m.sum(axis=1), 1))
+    t = m * d[:, None] * d
+    edges = spark.createDataFrame([(int(i), int(j), float(t[i, j])) for i, j in zip(*t.nonzero())], "i long, j long, w double")
+    monkeypatch.setattr(diffusion, "HELD_NODES", held)
+    monkeypatch.setattr(diffusion, "EDGES", 9)
+    asked, cores = [], diffusion.executor_cores
+    monkeypatch.setattr(diffusion, "executor_cores", lambda spark: asked.append(1) or cores(spark))
+    got, weights = diffusion.diffuse(spark.range(n), [edges, edges], outer=1, inner=3, nearest=None)
+    a = np.eye(n)
+    for _ in range(3):
+        a = t @ a @ t.T / 1.1 + (1 - 1 / 1.1) * np.eye(n)
+    out = np.zeros((n, n))
+    for r in got.collect():
+        out[r.i, r.j] = r.w
+    assert np.allclose(out, a, atol=1e-12) and np.allclose(weights, [0.5, 0.5])
+    assert bool(held) == bool(asked)
+
+
+def test_graphs_times_panels(tmp_path, monkeypatch):
+    """Rows of any degree, also none, in stretches."""
+    rng = np.random.default_rng(30)
+    m = np.where(rng.random((20, 20)) < 0.3, rng.random((20, 20)), 0)
+    m[4], m[5] = 0, 1
+    x = rng.normal(size=(20, 7))
+    a, b = m.nonzero()
+    pyarrow.parquet.write_table(pa.table({"a": a, "b": b, "w": m[a, b]}), f"{tmp_path}/edges.parquet")
+    for edges in (3, 10_000):
+        monkeypatch.setattr(diffusion, "EDGES", edges)
+        assert np.allclose(diffusion._edges_of([f"file://{tmp_path}/edges.parquet"], 20, np.float64).times(x), m @ x)
+
+
 def test_diffusion_step_is_read_once_by_its_symmetric_sum(spark):
     nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
     edges = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (2, 3, 1.0)], "i long, j long, w double")
