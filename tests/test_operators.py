@@ -627,6 +627,29 @@ def test_fused_graph_in_panels_is_that_of_matrices(spark, monkeypatch, single):
         assert np.allclose(got, want, atol=1e-6 if single else 1e-12) and np.allclose(weights, beta, atol=1e-6)
 
 
+def test_spectral_embedding_of_one_task_is_that_of_many(spark, monkeypatch):
+    """Also with a node without edges, an edge to no node, and thick restarts; no product is a job."""
+    rng = np.random.default_rng(31)
+    n = 60
+    m = np.where(rng.random((n, n)) < 0.2, rng.random((n, n)), 0)
+    m = m + m.T
+    m[9], m[:, 9] = 0, 0
+    edges = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*m.nonzero())] + [(900, 901, 1.0)], "i long, j long, w double")
+    monkeypatch.setattr(clustering, "VECTORS", 20)
+    d = m.sum(axis=1)
+    s = np.where(d > 0, 1 / np.sqrt(np.where(d > 0, d, 1)), 0)
+    v = np.linalg.eigh(m * s[:, None] * s)[1][:, -2:]
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    grams, gram = [], clustering._gram
+    monkeypatch.setattr(clustering, "_gram", lambda state: grams.append(1) or gram(state))
+    for held in (clustering.HELD, 0):
+        monkeypatch.setattr(clustering, "HELD", held)
+        got = {r.id: r.x for r in clustering.spectral_embedding(spark.range(n), edges, 2, driver_nodes=0).collect()}
+        x = np.array([got[i] for i in range(n)])
+        assert np.allclose(x @ x.T, v @ v.T, atol=1e-3) and not x[9].any()
+        assert bool(grams) == (held == 0)
+
+
 @pytest.mark.parametrize("held", [0, 100])
 def test_fused_graph_held_by_one_task_is_that_of_panels(spark, monkeypatch, held):
     rng = np.random.default_rng(29)
